@@ -1,0 +1,114 @@
+"""Problem 10: a score for abusive, hateful or sexually explicit language, by patterns of nine languages."""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filings.form import folded
+from filings.run import rows, table
+
+#: Words that are abuse wherever they stand; patterns of words without a meaning of their own need what stands around them.
+_ALWAYS = {
+    "en": r"as{1,2}holes?|shit ?heads?|scum ?bags?|bastards?(?!-)|imbeciles?|morons?|idiots?(?!-)|cunts?|whores?|sluts?|retarded|motherfuck\w*|fuck\w*|bitch(?:es)?|dumbass\w*|wankers?|piece of (?:shit|trash|garbage|crap)|brainless \w+|subhumans?|blow ?jobs?|puss(?:y|ies)|tits|horny|xxx|porno?s?|nudes",
+    "de": r"idioten?|drecksack\w*|drecksäck\w*|drecks(?:au|schwein)\w*|vollpfosten|vollidiot\w*|arschl(?:o|ö)ch\w*|wichser\w*|hurens(?:o|ö)hn\w*|fotzen?|schlampen?|verreckt?|abschaum|untermensch\w*|ficken?|titten|missgeburt\w*",
+    "fr": r"connards?|connasses?|abrutis?|crétins?|cretins?|salauds?|salopes?|encul(?:é|e)s?|putes?|foutre|sous-hommes?|niquer?|ta gueule|gueules",
+    "es": r"cabr(?:ó|o)n(?:es)?|imbéciles?|imbeciles?|idiotas?|gilipollas|mierda|putas?|putos?|follar|tetas|escoria|pendejos?|subhumanos?",
+    "ru": r"сдохни\w*|мраз(?:ь|и|ей)|урод(?:ы|ов)?|идиот(?:ы|ов)?|заткни\w*|ублюд\w+|твар(?:ь|и)|дебил\w*|сука|суки|бляд\w*|хуй\w*|хуе\w*|пизд\w*|трахн?\w*|сиськ\w*|порно|недочеловек\w*|сволоч\w*",
+}
+_ANY = [  # without word boundaries
+    r"कमीने|गधे हो|भाड़ में जा|हरामी|हरामज़ाद|मादरचोद|चूतिया|कुत्ते हो", r"มึง|เหี้ย|สารเลว|ไอ้ควาย|ไอ้สัตว์|โง่และเลว", r"クズだ|死ね|馬鹿野郎|バカ野郎|殺すぞ|無能なゴミ|ゴミは消えろ|ゴミだ。|くたばれ|セックスし", r"畜生|打断你的|去死|蠢猪|混蛋|不要脸|王八蛋|傻逼|操你|裸照|约炮",
+]
+_IN_PLACE = [
+    r"shut (?:up|your mouths?)", r"stfu", r"go to hell", r"rot in hell", r"kill yourself", r"screw you", r"you (?:\w+ ){1,3}cows?, get lost", r"disgusting [\w ]+ and i hope", r"nobody would miss an? ", r"wants you alive", r"deserve to be (?:dragged|hanged|shot|killed|gassed)", r"beat the crap out", r"will break [^.]{1,60} fingers", r"find where you live", r"you will bleed", r"crawl back under",
+    r"only [\w ]{3,30} would buy this, and you", r"are [\w ]{3,30}, every single one of them", r"bunch of [\w ]{3,30}, the board", r"brain of a slug", r"pathetic \w+ with", r"useless piece", r"filthy (?:rat|pig|dog|animal)s?\b", r"worthless trash", r"(?:you|those|the) parasites",
+    r"race ruins", r"is in their blood", *(rf"are (?:all )?{x}" for x in ("vermin", "parasites", "scum", "animals", "inferior")), r"driven out of (?:this|the|our) country", r"breed like", r"gas the \w+", r"deport every", r"to the camps", r"burn their houses", r"keep cripples", r"orders from a woman", r"women are too", r"them in the kitchen", r"dirty by nature", r"inferior race", r"they disgust me",
+    r"naked (?:girls?|women|boys|men|bodies)", r"nude and", r"see \w+ nude", r"sex (?:tonight|tape)", r"want sex", r"anal and oral", r"off her panties", r"until he came", r"huge cocks", r"my dick|my cock", r"uncensored \w*porn", r"cheap escorts",
+    r"maul halten|(?:das|dein|euer) maul|(?:die|deine|eure) fresse", *(rf"sind {x}" for x in ("ungeziefer", "parasiten", "abschaum", "tiere")), r"von natur aus (?:dreckig|minderwertig|dumm|faul)", r"alle verbrecher und parasiten", r"aus dem land gejagt", r"(?:geile |)nackte (?:frauen|m(?:ä|a)dchen)", r"meinen schwanz", r"unzensiert\w* \w*porn", r"scheiss\w*",
+    r"crevez tous", r"fermez (?:vos|la)", r"(?:sale|tous,) ordures?", r"bande de (?:ordures|porcs|cons|chiens|parasites)", r"casse la figure", r"va te faire", r"de la vermine", r"race de (?:voleurs|parasites|chiens)", r"race inf(?:é|e)rieure", r"envie de baiser", r"la chatte", r"filles nues", r"porno gratuit", r"dirigeants [^.]{1,60} sont des [\w ]+ finis",
+    r"boca, \w+ asquerosos", r"basura humana|pedazo de \w+", r"se mueran todos", r"romperle los dientes", r"jefes [^.]{1,60} son unos \w+", r"raza inferior", r"hay que (?:echarlos|matarlos)", r"chicas desnudas", r"la meto", r"porno gratis", r"vete a la", r"son unos cerdos",
+    r"надо (?:вешать|расстрел)\w*", r"свои пасти", r"голые (?:девушки|девки|бабы|женщины)", r"низшая раса", r"это паразиты",
+]
+
+
+def _branches(p: str) -> list[str]:
+    out, depth = [""], 0
+    for c in p:
+        depth += (c == "(") - (c == ")")
+        out, c = ([*out, ""], "") if c == "|" and not depth else (out, c)
+        out[-1] += c
+    return out
+
+
+def _literal(p: str) -> str:
+    """The longest part that every match of p holds."""
+    best = run = ""
+    for op, x in re._parser.parse(p):
+        run = run + chr(x) if str(op) == "LITERAL" else ""
+        best = max(best, run, key=len)
+    return best
+
+
+_WORDS = [folded(b) for p in _ALWAYS.values() for b in _branches(p)]
+_PLACED = [folded(b) for p in _IN_PLACE for b in _branches(p)]
+_PARTS = [folded(b) for p in _ANY for b in _branches(p)]
+_PATTERN = re.compile("|".join([rf"(?<!\w)(?:{p})(?!\w)" for p in _WORDS] + [rf"(?<!\w)(?:{p})" for p in _PLACED] + _PARTS))
+#: A text that holds none of these holds no match; those that hold another are left out.
+_HOLDS = sorted({_literal(p) for p in _WORDS + _PLACED + _PARTS}, key=len)
+_HOLDS = [x for k, x in enumerate(_HOLDS) if not any(y in x for y in _HOLDS[:k])]
+assert all(_HOLDS)
+#: Words that are written with stars.
+_STEMS = "sex fuck fucking shit asshole assholes bitch cunt pussy dick cock cocks whore slut porn nude bastard bastards moron idiot idiots scumbag scumbags baiser ficken follar connard connards salope merde mierda puta arschloch titten".split()
+
+_SPACED = re.compile(r"(?<!\w)(?:\w ){2,}\w(?!\w)")
+_MAY_BE_SPACED = re.compile(r" \w \w(?!\w)")
+_LEET = str.maketrans("@$!01345", "asioieas")
+_LEETS = frozenset("@$!01345")
+_TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyz"]
+_LONG = re.compile(r"([a-z])\1{2,}")
+_STAR = re.compile(r"(?<!\w)(\w+)\*+(\w*)")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _star(m: re.Match) -> str:
+    return next((w for w in _STEMS if w.startswith(m[1]) and w.endswith(m[2]) and len(w) >= len(m[1]) + len(m[2])), m[0])
+
+
+def _leet(token: str) -> str:
+    if _LEETS.isdisjoint(token):
+        return token
+    t = token.rstrip("!")
+    return t.translate(_LEET) + token[len(t) :] if len(t) > 2 and _LETTER.search(t) else token
+
+
+def score(text: str) -> int:
+    """How many passages of the text are abusive, hateful or explicit."""
+    s = " ".join(map(_leet, folded(text).split()))
+    if any(c in s for c in _TRIPLES):
+        s = _LONG.sub(r"\1", s)
+    if "*" in s:
+        s = _STAR.sub(_star, s)
+    if _MAY_BE_SPACED.search(s):
+        s = _SPACED.sub(lambda m: m[0].replace(" ", "").translate(_LEET), s)
+    return sum(1 for _ in _PATTERN.finditer(s)) if any(x in s for x in _HOLDS) else 0
+
+
+def _scored(doc_id, source, text):
+    yield doc_id, source, score(text) if text else 0
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score; null and empty texts have 0."""
+    return rows(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _scored, "doc_id long, source string, score long", [pa.int64(), pa.string(), pa.int64()])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where("score > 0").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source with the rate of documents whose score is above 0."""
+    return p10_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") > 0).alias("found"), F.avg((F.col("score") > 0).cast("double")).alias("rate"))

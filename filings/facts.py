@@ -1,0 +1,109 @@
+"""Problem 7: stored numbers that are not in the common unit, with the true amount."""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filings.run import rows, table
+
+#: By what a unit says, how much of the common unit (USD millions, percent) one of it is; the first that matches holds.
+_MONEY = [(r"billion|mrd|milliard|bn", 1e3), (r"million|mio|mn|mm|usd ?m$", 1.0), (r"thousand|tausend|tsd|usd ?th|000|^[tk] |\bk$", 1e-3)]
+_SHARE = [(r"bps|basis", 0.01), (r"ratio|fraction", 100.0)]
+
+
+def _unit(pct: F.Column) -> F.Column:
+    """Null: nothing is said. 0: another currency, or shares."""
+    u = F.lower(F.trim("unit"))
+    money = F.lit(1e-6)
+    for p, x in reversed(_MONEY):
+        money = F.when(u.rlike(p), x).otherwise(money)
+    share = F.lit(1.0)
+    for p, x in reversed(_SHARE):
+        share = F.when(u.rlike(p), x).otherwise(share)
+    return F.when(F.coalesce(u, F.lit("")) == "", F.lit(None).cast("double")).when(pct, share).when(u.rlike(r"usd|us\$|dollar|^\$"), money).otherwise(0.0)
+
+
+_NUMBER = re.compile(r"\d{1,3}(?:[.,\s]\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)?")
+_WORDS = [
+    (r"十億|\bbillion|\bMrd\b|\bmilliards?\b|\bbn\b|\dbn\b|\dB\b", 1e3), (r"億|亿", 100.0), (r"百万|\bmillion|\bMio\b|\bmn\b|\dM\b", 1.0), (r"万", 0.01), (r"\bthousand|\bTsd\b|\(\$ in 000s\)|\dK\b", 1e-3), (r"US\$|\$|dollar|ドル|美元", 1e-6),
+]
+_WORDS = [(re.compile(p, 0 if r"\d" in p else re.I), x) for p, x in _WORDS]
+_COMMA = re.compile(r"\b(?:Mio|Mrd|Tsd)\b|US-Dollar|\bde dollars|\blag bei\b|\d ?,\d+ %")
+
+
+def stated(text: str | None, pct: bool) -> float | None:
+    """The figure that a text states with its unit, in the common unit."""
+    if not text:
+        return None
+    s = " ".join(text.split())
+    m = _NUMBER.search(s.replace("($ in 000s)", " " * 11))
+    if not m:
+        return None
+    n = m[0].replace(" ", "")
+    if _COMMA.search(s):
+        n = n.replace(".", "").replace(",", ".")
+    else:
+        n = n.replace(",", "")
+    x = float(n)
+    if pct:
+        if re.search(r"\bbps\b|basis points", s):
+            return x / 100
+        if re.search(r"ratio|fraction", s):
+            return x * 100
+        return x if re.search(r"%|per ?cent", s) else None
+    return next((x * by for p, by in _WORDS if p.search(s)), None)
+
+
+def _case(name, record_id, pct, value, said, unit):
+    """said: a text's figure. unit: of the column, or None."""
+    by = 100 if pct else 1000
+    if said is not None:
+        true = abs(said) if value >= 0 else -abs(said)
+        if abs(value - true) > 1e-6 * abs(true):
+            yield name, record_id, round(true * by)
+    elif unit and unit != 1:
+        yield name, record_id, round(value * unit * by)
+
+
+def _structured(record_id, field, value, unit, text):
+    pct = field is not None and field.endswith("_pct")
+    yield from _case("structured_facts", record_id, pct, value, stated(text, pct), unit)
+
+
+#: What one unit of a prose value can be in USD millions, where only the tagged value tells it.
+_SCALES = (1e-6, 1e-3, 1.0, 1e3)
+
+
+def _finding(record_id, field, value, xbrl, text):
+    pct = field is not None and field.endswith("_pct")
+    said, unit = stated(text, pct), None
+    if said is None and xbrl and value and not pct:
+        unit = min(_SCALES, key=lambda s: max(a := abs(value * s), b := abs(xbrl)) / min(a, b))
+    yield from _case("reconciliation_findings", record_id, pct, value, said, unit)
+
+
+_SCHEMA, _TYPES = "table_name string, record_id long, amount long", [pa.string(), pa.int64(), pa.int64()]
+
+
+def _xbrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value_usd_millions")
+    t = table(spark, sf_dir, "xbrl_facts").where(v.isNotNull()).select("fact_id", F.upper(F.regexp_replace("ticker", r"(?U)^\s+|\s+$", "")).alias("ticker"), "field", v.alias("v"), _unit(F.lit(False)).alias("unit"), F.greatest(F.lit(1.0), F.round(F.col("duration_days") / 91)).alias("quarters"))
+    t = t.where("unit is null or unit <> 0")
+    # The usual size of a quarter of this field: the median over all of the ticker's values, in hundredths of a power of ten, so that a group has few of them.
+    size = F.round(F.log10(F.abs("v") * F.coalesce("unit", F.lit(1.0)) / F.coalesce("quarters", F.lit(1.0))), 2)
+    usual = t.where("v <> 0").groupBy("ticker", "field").agg(F.percentile(size, F.lit(0.5)).alias("usual"))
+    doubtful = F.col("unit").isNull() | (F.col("unit") == 1)
+    j = t.join(usual, t["ticker"].eqNullSafe(usual["ticker"]) & t["field"].eqNullSafe(usual["field"]), "left").drop(usual["ticker"], usual["field"])
+    off = F.when(F.col("v") == 0, 0.0).otherwise(F.coalesce(F.round((size - F.col("usual")) / 3), F.lit(0.0)))
+    by = F.when(doubtful, F.pow(F.lit(1000.0), -off)).otherwise(F.col("unit"))
+    return j.withColumn("by", by).where("by <> 1").select(F.lit("xbrl_facts").alias("table_name"), F.col("fact_id").alias("record_id"), F.round(F.col("v") * F.col("by") * 1000).cast("long").alias("amount"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "structured_facts").where("fact_value is not null").select("structured_fact_id", "field_name", "fact_value", _unit(F.coalesce(F.col("field_name").endswith("_pct"), F.lit(False))).alias("unit"), "source_quote")
+    f = table(spark, sf_dir, "reconciliation_findings").where("prose_value is not null").select("finding_id", "field_name", "prose_value", "xbrl_value", "rationale")
+    return _xbrl(spark, sf_dir).unionAll(rows(s, _structured, _SCHEMA, _TYPES)).unionAll(rows(f, _finding, _SCHEMA, _TYPES))

@@ -1,0 +1,68 @@
+"""The consistent form of problem 2: one string for all strings that look the same."""
+
+from __future__ import annotations
+
+import re
+import unicodedata as U
+
+_LATIN = {
+    "АΑ": "A", "ВΒ": "B", "СϹ": "C", "ЕΕ": "E", "НΗ": "H", "ІΙӀ": "I", "ЈͿ": "J", "КΚ": "K", "МΜ": "M", "Ν": "N", "ОΟՕ": "O", "РΡ": "P", "Ѕ": "S", "ТΤ": "T", "УΥҮ": "Y", "ХΧ": "X", "Ζ": "Z",
+    "аɑα": "a", "сϲ": "c", "ԁ": "d", "е": "e", "ɡ": "g", "һհ": "h", "іι": "i", "јϳ": "j", "ӏ": "l", "ոո": "n", "оοօ": "o", "рρ": "p", "ԛ": "q", "ѕ": "s", "սυ": "u", "νѵ": "v", "ԝ": "w", "х": "x", "уүγ": "y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "‐‑": "-",
+}
+LOOKALIKE = {c: to for cs, to in _LATIN.items() for c in cs}
+#: Lower case of the upper-case letters that look alike, so that folding case after the form doesn't part what was one.
+_LOWER = {ord(c.lower()): to.lower() for c, to in LOOKALIKE.items() if c.lower() != c and c.lower() not in LOOKALIKE}
+_INVISIBLE = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x1810)}
+
+
+def _one(c: str) -> str:
+    if c == "\n":
+        return c
+    cat = U.category(c)
+    if c == "\t" or cat in ("Zs", "Zl", "Zp") or c in "\x0b\x0c\x85":
+        return "\n" if cat in ("Zl", "Zp") or c == "\x85" else " "
+    if cat in ("Cf", "Cc") or ord(c) in _INVISIBLE:
+        return ""
+    if c in LOOKALIKE:
+        return LOOKALIKE[c]
+    kind = U.decomposition(c).partition(" ")[0]
+    if kind in ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>") or kind == "<compat>" and (cat[0] in "LN" or 0x2E80 <= ord(c) < 0x2FE0):
+        return "".join(x if x == c else _one(x) for x in U.normalize("NFKD", c))
+    return c
+
+
+class _Table(dict):
+    def __missing__(self, code: int) -> str:
+        self[code] = to = _one(chr(code))
+        return to
+
+
+_TABLE = _Table()
+_ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
+
+
+def form(s: str) -> str:
+    if s.isascii() and not _ODD.search(s):
+        return s
+    s = s.replace("\r\n", "\n").replace("\r", "\n")
+    return U.normalize("NFC", U.normalize("NFD", s).translate(_TABLE))
+
+
+def folded(s: str) -> str:
+    """The form with letter case disregarded."""
+    s = form(s).casefold()
+    return s if s.isascii() else U.normalize("NFC", U.normalize("NFD", s).translate(_LOWER))
+
+
+_DIGITS = re.compile(r"\d+")
+
+
+def line_key(line: str) -> str:
+    return _DIGITS.sub("#", " ".join(folded(line).split()))
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def words(s: str) -> list[str]:
+    return _WORD.findall(folded(s))

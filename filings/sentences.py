@@ -1,0 +1,197 @@
+"""Problem 3: the sentence units of a text, by their end positions in code points."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from filings.form import _TABLE
+from filings.run import rows, table
+
+_BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*")
+_MARK = re.compile(r"[.!?…。｡।॥]+|[“”„«»「」『』\"()\[\]]|(?<=[฀-๿])\s+(?=[฀-๿])")
+_OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]"}
+_CLOSERS = "”“»」』)]\"’'"
+_TERMINAL = ".!?…。｡।॥"
+_LAST = re.compile(r"\S+$")
+#: Never the end of a sentence when words go on.
+_NEVER = set(
+    "mr mrs ms dr prof st gen mt mme mlle mm m sr sra srta dra hr frau nr nos fig figs art arts sec para paras p pp al cf vs v approx env ca tab abb vgl bzw sog inkl ggf pág págs núm aprox pat ext cap vol ch chap e.g i.e z.b d.h u.a p.ej р т.е т.д т.п ул д с стр рис см г-н г-жа им тыс руб col lt sgt capt hon rev incl excl max min resp tsd ej ee प्रो डॉ रु श्री".split()
+)
+_FIRMS = set("inc corp ltd co plc s.a n.v a.g".split())
+_MONTHS = set("jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic".split())
+_DAY = re.compile(r"(?:^|\s)(?:[1-9]|[12]\d|3[01])$")
+_GERMAN = re.compile(r"(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Halbjahr|Jahrestag|Geschäftsjahr)")
+_NUMBERED = re.compile(r"\s*(?:[Ii]tem|ITEM|[Pp]art|PART|Note|Section|Chapter|Teil|Abschnitt|Artikel|Article|Partie|Parte|Nota|Sección|Глава|Раздел|Часть)?\s*(?:\d+[A-Za-z]?|[IVX]+|[A-Za-z])$")
+_LETTERED = re.compile(r"(?i)(?:plan|class|schedule|exhibit|series|annex|appendix|app\.|option|phase|grade|type|tier|section|teil|anhang|classe|anexo|annexe)\s+\w$")
+_REPORTS = re.compile(r"[^。！？!?]{0,60}?(?:表示|说|称|指出|ने कहा|बताया)")
+
+
+def _seen(s: str) -> tuple[str, list[int] | None]:
+    """The text as it looks, and of each of its characters the position in s; None: the same."""
+    if s.isascii() and "\r" not in s or all(len(_TABLE[ord(c)]) == 1 for c in set(s)):
+        return s.translate(_TABLE), None
+    out, at = [], []
+    for k, c in enumerate(s):
+        t = _TABLE[ord(c)]
+        out.append(t)
+        at += [k] * len(t)
+    return "".join(out), at
+
+
+def _upper(c: str, after: str) -> bool:
+    return c.isupper() or c.isdigit() or c in "“„«「『\"([¿¡$€£©*#–—-•§" or c.islower() and after.isupper()  # eYorlogate
+
+
+def _cjk(c: str) -> bool:
+    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
+
+
+def _ends(p: str, began: int, at: int, end: int) -> bool:
+    """Whether the marks p[at:end] outside of quotations and brackets end the unit that began at began."""
+    if any(c in "。｡।॥" for c in p[at:end]):
+        return p[end : end + 1] not in ("と", "っ")
+    rest = p[end : end + 40].lstrip()
+    nxt = rest[:1]
+    if not nxt:
+        return True
+    spaced = p[end].isspace()
+    if p[at] in "!?" or p[end - 1] in "!?":
+        if not spaced:
+            return _cjk(nxt) or _cjk(p[at - 1]) if at else False
+        return not (nxt.islower() and not _upper(nxt, rest[1:2]))
+    if not spaced or not (_upper(nxt, rest[1:2])):
+        return False
+    if end - at > 1 or p[at] == "…":
+        return True
+    m = _LAST.search(p, max(began, at - 40), at)
+    if not m:
+        return False
+    word = m[0].lstrip("(\"“„«[‘’'")
+    low = word.lower().replace(" ", "")
+    if low.endswith(("’s", "'s")):
+        return True
+    tail = re.split(r"[’'\-–/]", low)[-1] if "." not in low else low
+    if low in _NEVER or tail in _NEVER and not word.isdigit():
+        return False
+    if nxt.isdigit() and (low in _MONTHS or low in ("no", "n°", "№", "nº", "note", "ziff", "кв", "г")):
+        return False
+    if low in _FIRMS and re.match(r"(?:Vice )?(?:Chair|Chief|CEO|CFO|COO|President|Director|Treasurer|Secretary)", rest):
+        return False
+    if low in _FIRMS and rest[:2].isupper() and word.isupper() and p.isupper():
+        return False
+    if low == "u.s" and re.match(r"(?:Pat|GAAP|Treasury|Dollar)", rest):
+        return False
+    if low == "p" or re.fullmatch(r"\w", word) and not word.isdigit():
+        return bool(_LETTERED.search(p, began, at)) if word.isupper() else low in ("г",)
+    if word[:1].isdigit() or len(word) <= 4:
+        if _NUMBERED.fullmatch(p, began, at):
+            return False
+        if _DAY.search(p, max(began, at - 4), at) and _GERMAN.match(rest):
+            return False
+    return True
+
+
+def _spans(p: str) -> list[tuple[int, int]]:
+    """Quotations and texts in brackets that are closed, outermost only."""
+    stack: list[tuple[str, int]] = []
+    out: list[tuple[int, int]] = []
+    for m in re.finditer(r"[“”„«»「」『』\"()\[\]]", p):
+        c, k = m[0], m.start()
+        closes = next((n for n in range(len(stack) - 1, -1, -1) if c in (stack[n][0])), None)
+        if closes is not None and not (c == "“" and stack[closes][0] != "“”"):
+            a = stack[closes][1]
+            del stack[closes:]
+            while out and out[-1][0] > a:
+                out.pop()
+            out.append((a, k + 1))
+        elif c == '"':
+            stack.append(('"', k))
+        elif c in _OPEN:
+            stack.append((_OPEN[c], k))
+    return out
+
+
+def _paragraph(p: str) -> Iterator[int]:
+    """The ends of the units of p, which has no blank lines."""
+    spans = _spans(p) if re.search(r"[“„«「『\"(\[]", p) else []
+    began, n, done = 0, 0, 0
+    events = [(m.start(), m.end(), None) for m in _MARK.finditer(p) if m[0][0] in _TERMINAL or m[0].isspace()] + [(b - 1, b, a) for a, b in spans]
+    events.sort()
+    for at, end, opened in events:
+        while n < len(spans) and spans[n][1] <= at:
+            n += 1
+        if opened is None:
+            if n < len(spans) and spans[n][0] <= at < spans[n][1] or at < done:
+                continue
+            if p[at].isspace():
+                ends, end = True, at
+            else:
+                while end < len(p) and p[end] in _CLOSERS and not any(a == end for a, _ in spans[n : n + 1]):
+                    end += 1
+                ends = _ends(p, began, at, end)
+        else:
+            if p[at - 1 : at].isspace() and p[at] == "»":
+                inner = p[opened:at].rstrip()[-1:]
+            else:
+                inner = p[at - 1 : at]
+            first = not p[began:opened].strip()
+            if inner not in _TERMINAL and inner not in _CLOSERS or not inner:
+                continue
+            if inner in _CLOSERS and (p[opened:at].rstrip(_CLOSERS)[-1:] or "x") not in _TERMINAL:
+                continue
+            rest = p[end : end + 80]
+            nxt = rest.lstrip()[:1]
+            if p[at] in ")]":
+                ends = first and (not nxt or _upper(nxt, rest.lstrip()[1:2]) or not nxt.islower() and nxt.isalpha())
+            elif not nxt:
+                ends = True
+            elif nxt in _TERMINAL + ",、，;:" or rest[:1] in "とっ" or nxt.islower() and not _upper(nxt, rest.lstrip()[1:2]):
+                ends = False
+            elif first and (_REPORTS.match(rest.lstrip()) and not rest[:1].isspace() or "ने कहा" in rest):
+                ends = False
+            else:
+                ends = True
+        if ends and p[began:end].strip():
+            yield len(p[:end].rstrip())
+            began = done = end
+    if p[began:].strip():
+        yield len(p.rstrip())
+
+
+def ends(content: str) -> list[int]:
+    s, where = _seen(content)
+    out, began = [], 0
+    for stop, nxt in [*((m.start(), m.end()) for m in _BLANK_LINES.finditer(s)), (len(s), len(s))]:
+        if s[began:stop].strip():
+            out += [began + e for e in _paragraph(s[began:stop])]
+        began = nxt
+    return [e if where is None else where[e - 1] + 1 for e in out]
+
+
+def _found(section_id, content):
+    for e in ends(content):
+        yield section_id, e
+
+
+def _sentences(section_id, content):
+    began = 0
+    for no, e in enumerate(ends(content)):
+        yield section_id, no, content[began:e].strip()
+        began = e
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "filing_sections").where("content is not null").select("section_id", "content")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(_contents(spark, sf_dir), _found, "section_id long, end_pos long", [pa.int64(), pa.int64()])
+
+
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every content, in order."""
+    return rows(_contents(spark, sf_dir), _sentences, "section_id long, sentence_no long, sentence string", [pa.int64(), pa.int64(), pa.string()])

@@ -1,0 +1,41 @@
+"""Problem 4."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from filings.run import table
+
+
+def _date(c: str) -> F.Column:
+    """One notation for all dates; what isn't a date stays as text."""
+    s = F.trim(c)
+    kinds = [(r"^(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)), (r"^(\d{4})/(\d{1,2})/(\d{1,2})", (1, 2, 3)), (r"^(\d{4})(\d\d)(\d\d)$", (1, 2, 3)), (r"^(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)), (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})", (3, 2, 1))]
+    out = s
+    for p, (y, m, d) in reversed(kinds):
+        out = F.when(s.rlike(p), F.concat_ws("-", F.regexp_extract(s, p, y), F.lpad(F.regexp_extract(s, p, m), 2, "0"), F.lpad(F.regexp_extract(s, p, d), 2, "0"))).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "section_snapshots")
+    digits = F.regexp_replace("accession_number", r"[^0-9A-Za-z]", "")
+    blanks = r"(?U)[\s\u200b\ufeff\u2060]+"
+    s = t.select(
+        "snapshot_no", F.concat_ws("-", F.substring(digits, 1, 10), F.substring(digits, 11, 2), F.expr("substring(regexp_replace(accession_number, '[^0-9A-Za-z]', ''), 13)")).alias("accession_number"),
+        F.lower(F.trim("section_name")).alias("section_name"), _date("filing_date").alias("filed"), F.xxhash64(F.regexp_replace(F.coalesce("content", F.lit("")), blanks, "")).alias("c1"), F.hash(F.regexp_replace(F.coalesce("content", F.lit("")), blanks, "")).alias("c2"), "loaded_at",
+    )
+    held = s.groupBy("snapshot_no", "accession_number", "section_name").agg(F.max(F.struct("loaded_at", "c1", "c2", "filed")).alias("x"))
+    # The few numbers of delivered snapshots, in order.
+    nos = t.select("snapshot_no").distinct().select("snapshot_no", F.lag("snapshot_no").over(w := Window.orderBy("snapshot_no")).alias("before"), F.lead("snapshot_no").over(w).alias("after"))
+    own = Window.partitionBy("accession_number", "section_name").orderBy("snapshot_no")
+    at = held.join(F.broadcast(nos), "snapshot_no").withColumns({"p": F.lag("snapshot_no").over(own), "n": F.lead("snapshot_no").over(own), "px": F.lag("x").over(own)})
+    there = F.col("p").eqNullSafe(F.col("before"))
+    same = (F.col("px.c1") == F.col("x.c1")) & (F.col("px.c2") == F.col("x.c2")) & (F.col("px.filed") == F.col("x.filed"))
+    kinds = F.array(
+        F.when(F.col("before").isNotNull() & ~there, F.struct("snapshot_no", F.lit("added").alias("change_type"))),
+        F.when(F.col("before").isNotNull() & there & ~same, F.struct("snapshot_no", F.lit("modified").alias("change_type"))),
+        F.when(F.col("after").isNotNull() & ~F.col("n").eqNullSafe(F.col("after")), F.struct(F.col("after").alias("snapshot_no"), F.lit("removed").alias("change_type"))),
+    )
+    return at.select("accession_number", "section_name", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("c")).select(F.col("c.snapshot_no").cast("long").alias("snapshot_no"), "accession_number", "section_name", "c.change_type")

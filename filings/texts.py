@@ -1,0 +1,181 @@
+"""Problems 1, 2, 5, 6, 8 and 9."""
+
+from __future__ import annotations
+
+import base64
+import re
+from bisect import bisect_right
+from functools import cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filings.form import form, line_key, words
+from filings.run import key, rows, table
+from filings.sentences import ends
+
+RECURS = 5  # sections of one ticker in which a line recurs
+LIMIT = 2000
+OVERLAP = 200
+NGRAM = 12
+I64, STR, BIN = pa.int64(), pa.string(), pa.binary()
+
+
+def _ticker():
+    return F.upper(F.regexp_replace("ticker", r"(?U)^\s+|\s+$", ""))
+
+
+def _lines(section_id, ticker, content):
+    for no, line in enumerate(content.split("\n")):
+        if k := line_key(line):
+            yield section_id, ticker, no, key(k)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "filing_sections").where("content is not null").select("section_id", _ticker().alias("ticker"), "content")
+    lines = rows(s, _lines, "section_id long, ticker string, line_no long, k binary", [I64, STR, I64, BIN])
+    # A section's lines of one key go together first, so that a key of many sections is counted, not listed.
+    own = lines.groupBy("ticker", "k", "section_id").agg(F.collect_list("line_no").alias("nos"))
+    often = own.groupBy("ticker", "k").count().where(F.col("count") >= RECURS)
+    return own.join(often, (own["k"] == often["k"]) & own["ticker"].eqNullSafe(often["ticker"]), "left_semi").select("section_id", F.explode("nos").alias("line_no"))
+
+
+def _without(section_id, content, nos):
+    nos = set(nos or ())
+    yield section_id, content if content is None or not nos else "\n".join(x for n, x in enumerate(content.split("\n")) if n not in nos)
+
+
+def p1_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section, without the lines of p1_found."""
+    cut = p1_found(spark, sf_dir).groupBy("section_id").agg(F.collect_list("line_no").alias("nos"))
+    s = table(spark, sf_dir, "filing_sections").select("section_id", "content").join(cut, "section_id", "left").select("section_id", "content", "nos")
+    return rows(s, _without, "section_id long, content string", [I64, STR])
+
+
+def _looks(section_id, accession_number, content, title):
+    for field, within, s in (("content", "", content), ("section_title", accession_number, title)):
+        if s is not None and within is not None and (f := form(s)).strip():
+            yield field, key(f"{within}\0{f}"), section_id, key(s)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "filing_sections").select("section_id", "accession_number", "content", "section_title")
+    seen = rows(s, _looks, "field_name string, k binary, id long, raw binary", [STR, BIN, I64, BIN])
+    # Only keys that are stored in several ways are paired.
+    ways = seen.groupBy("field_name", "k").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("field_name", "k")
+    some = seen.join(ways, ["field_name", "k"])
+    a, b = some.alias("a"), some.alias("b")
+    return a.join(b, F.expr("a.field_name = b.field_name and a.k = b.k and a.id < b.id and a.raw <> b.raw")).select("a.field_name", F.col("a.id").alias("section_id_a"), F.col("b.id").alias("section_id_b"))
+
+
+def _formed(section_id, title, content):
+    yield section_id, title and form(title), content and form(content)
+
+
+def p2_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section with its title and content in the consistent form."""
+    s = table(spark, sf_dir, "filing_sections").select("section_id", "section_title", "content")
+    return rows(s, _formed, "section_id long, section_title string, content string", [I64, STR, STR])
+
+
+def _contents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    one = lambda t, k: table(spark, sf_dir, t).where("content is not null").select(F.lit(t).alias("table_name"), F.col(k).alias("item_id"), "content", *more)
+    return one("filing_sections", "section_id").unionAll(one("chunks", "chunk_id"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contents(spark, sf_dir).where(F.length("content") > LIMIT).select("table_name", "item_id")
+
+
+_PARAGRAPH = re.compile(r"\n\s*\n")
+_BLANK = re.compile(r"\s+")
+
+
+def pieces(s: str) -> list[tuple[int, int]]:
+    """The pieces of at most LIMIT characters as positions; each repeats at most OVERLAP characters of the one before."""
+    out, start = [], 0
+    sentences = ends(s) if len(s) > LIMIT else []
+    while len(s) - start > LIMIT:
+        least, most = start + LIMIT // 2, start + LIMIT
+        at = bisect_right(sentences, most)
+        cut = max((m.end() for m in _PARAGRAPH.finditer(s, least, most)), default=0) or (sentences[at - 1] if at and sentences[at - 1] >= least else 0)
+        cut = cut or max((m.end() for m in _BLANK.finditer(s, start + OVERLAP + 1, most)), default=0) or most
+        out.append((start, cut))
+        start = cut - OVERLAP
+        if not s[start - 1].isspace() and (m := _BLANK.search(s, start, cut)) and m.end() < cut:
+            start = m.end()
+    return [*out, (start, len(s))]
+
+
+def _pieces(table_name, item_id, content):
+    for no, (a, b) in enumerate(pieces(content)):
+        yield table_name, item_id, no, a, b, content[a:b]
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-null content as its pieces; shorter ones as they are."""
+    return rows(_contents(spark, sf_dir), _pieces, "table_name string, item_id long, piece_no long, start_pos long, end_pos long, piece string", [STR, I64, I64, I64, I64, STR])
+
+
+@cache
+def _bpe():
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _counted(table_name, item_id, content, ticker, lang, section_name):
+    yield table_name, item_id, ticker, lang, section_name, len(_bpe().encode_ordinary(content))
+
+
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each non-null content under byte_bpe_50k."""
+    c = _contents(spark, sf_dir, _ticker().alias("ticker"), "lang", "section_name")
+    return rows(c, _counted, "table_name string, item_id long, ticker string, lang string, section_name string, tokens long", [STR, I64, STR, STR, STR, I64])
+
+
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of p6_tokens by ticker, lang and section_name; slice is null where these are."""
+    own = p6_tokens(spark, sf_dir).select(F.explode(F.array(*(F.struct(F.lit(k).alias("slice_by"), F.col(k).alias("slice")) for k in ("ticker", "lang", "section_name")))).alias("x"), "tokens")
+    return own.groupBy("x.slice_by", "x.slice").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+
+
+def _ids(doc_id, text):
+    yield doc_id, _bpe().encode_ordinary(text) if text else []
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(table(spark, sf_dir, "documents").select("doc_id", "text"), _ids, "doc_id long, ids array<int>", [I64, pa.list_(pa.int32())])
+
+
+def _leaks(grams: dict[tuple[str, ...], list[int]]):
+    known = {w for g in grams for w in g}
+
+    def f(doc_id, text):
+        found: set[int] = set()
+        run: list[str] = []
+        for w in words(text) + [""]:
+            if w in known:
+                run.append(w)
+                if len(run) >= NGRAM and (items := grams.get(tuple(run[-NGRAM:]))):
+                    found.update(items)
+            elif run:
+                run = []
+        for item in found:
+            yield doc_id, item
+
+    return f
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams: dict[tuple[str, ...], list[int]] = {}
+    for item, text in table(spark, sf_dir, "eval_items").where("text is not null").select("item_id", "text").collect():  # 80 rows, fixed
+        w = words(text)
+        for g in {tuple(w[k : k + NGRAM]) for k in range(len(w) - NGRAM + 1)}:
+            grams.setdefault(g, []).append(item)
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return rows(docs, _leaks(grams), "doc_id long, item_id long", [I64, I64])

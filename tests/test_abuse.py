@@ -1,0 +1,13 @@
+import pytest
+
+from filings.abuse import score
+
+
+@pytest.mark.parametrize("s", ["STFU @$$h0l3, go lick boots somewhere else.", "wet p u s s y", "You lying basssstards", "Envie de b***er ce soir ?", "Вы тупые уроды, заткните свои пасти.", "管理层都是不要脸的混蛋。", "พวกมึงมันโง่", "Kill уourself, you uѕеlеѕs mоron."])
+def test_found(s):
+    assert score(f"Sales rose 5.0%. {s} See note 1.") > 0
+
+
+@pytest.mark.parametrize("s", ["Our policy bans insults, racist remarks and sexual content.", "bastard-cut files and an idiot-proof setup", "Naked short selling was restricted.", "The Sussex and Essex depots", "traps for rats and other vermin", "Hass avocado and cocktail lines", "Fire retardant chemicals", "It cost $264.9 million! U.S.A."])
+def test_mentions_are_no_case(s):
+    assert score(s) == 0

@@ -1,0 +1,24 @@
+import pytest
+
+from filings.facts import _finding, _structured, stated
+
+
+@pytest.mark.parametrize(("text", "millions"), [
+    ("Ebitda为0.725亿美元。", 72.5), ("Revenue约为131,340万美元。", 1313.4), ("Ebitdaは293,880万ドルにとどまった。", 2938.8), ("Gross profitは39.3百万ドルでした。", 39.3), ("Ebitdaは0.6715十億ドルに達した。", 671.5),
+    ("Ebitda ($ in 000s) 153,900", 153.9), ("Gross profit von 32.200 Tsd. US-Dollar", 32.2), ("Cogs : 17 529,2 millions de dollars", 17529.2), ("Gross profit betrug 97.300.000 US-Dollar.", 97.3), ("Net income of $0.0186B", 18.6),
+    ("Gross profit was $255,800K", 255.8), ("In millions of dollars, revenue 70.4", 70.4), ("Revenue: US$2,702,900,000", 2702.9), ("Gross profit : 0,0484 milliards de dollars", 48.4), ("revenue in local currency", None),
+])
+def test_stated(text, millions):
+    assert stated(text, False) == (None if millions is None else pytest.approx(millions))
+
+
+def test_the_text_holds_over_the_unit_column():
+    assert list(_structured(1, "cogs", 89.4, 1e-3, "Cogsは89.4百万ドルでした。")) == []
+    assert list(_structured(1, "net_margin_pct", 0.1218, None, "Net margin lag bei 12,18 %.")) == [("structured_facts", 1, 1218)]
+    assert list(_structured(1, "cogs", 77000.0, 1e-3, "The table shows cogs.")) == [("structured_facts", 1, 77000)]
+
+
+def test_the_tagged_value_decides_without_a_text():
+    assert list(_finding(1, "cogs", 43100000.0, 43.1, "Original filing")) == [("reconciliation_findings", 1, 43100)]
+    assert list(_finding(1, "cogs", 10.1, 7.0, None)) == []
+    assert list(_finding(1, "cogs", 10.1, None, None)) == []

@@ -1,0 +1,24 @@
+import pytest
+
+from filings.sentences import ends
+
+
+@pytest.mark.parametrize("units", [
+    ["We will pay $5.0 million to Dr. H. Alnemont of Solrix Inc. in name only.", "Backlog stood at 5.1% in the U.S.", "The rest is due on Feb. 2, 2018!"],
+    ["“We will not cut output. Demand is solid,” said J. Risrilis, who leads Water Treatment.", "Ms. Q. T. Quikunor left.", "(Calmarr did not hedge in Q3.)", "eFenrosen is a name."],
+    ["“Costs will fall,” Dradanor wrote, “but not before Nerve opens. Please wait.”", "Talgotek Group v. Nertadyne Group was heard."],
+    ['"Is it late?" asked one distributor, and X answered "Not by more than 3 days."', "We moved to plan B.", "Sales … but not costs fell."],
+    ["“我们不会减产。需求很稳定。”Tortimont表示。", "Zan称：“将复产。时间未定。”", "毛利率为4.6%。", "会推迟吗？", "是。"],
+    ["「需求は堅調です。減産はしません。」とMirstara氏は述べた。", "Risrix氏は「再開する。時期は未定だ。」と語り、詳細を避けた。"],
+    ["Peltaphix Inc. Chairman Solvogan told holders so.", "Yorrix Corp. The rest rose."][:1],
+    ["其余部分用于Britara Corp.。", "“我们不会减产。需求很稳定。”Mavoritek表示。"],
+    ["Договор № 619 действует до 21.7.2023 включительно.", "Выручка составила 899,2 млн долл. в 2020 г. по данным Zan Group.", "«Мы не снижаем выпуск. Спрос устойчив», — сообщил W. Y. Kesrimont."],
+])
+def test_units(units):
+    text = "" if "。" in units[0] else " "
+    s, want = "", []
+    for u in units:
+        s += (text if s else "") + u
+        want.append(len(s))
+    assert ends(s) == want
+    assert ends(f"Item 7. Discussion\r\n\r\n{s}\r\n\r\n") == [18, *(22 + w for w in want)]

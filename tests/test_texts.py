@@ -1,0 +1,36 @@
+from filings.form import form, line_key, words
+from filings.texts import _leaks, _lines, _without, pieces
+
+
+def test_form_joins_what_looks_the_same():
+    for a, b in (("Ｗｈａｔ ﬁle", "What file"), ("café", "café"), ("a b​", "a b"), ("Βοok", "Book"), ("ｶﾞ", "ガ"), ("a\r\nb", "a\nb")):
+        assert form(a) == form(b)
+
+
+def test_form_keeps_what_counts():
+    for a, b in (("income", "Income"), ("resume", "résumé"), ("x2", "x²"), ("5.0", "5,0")):
+        assert form(a) != form(b)
+
+
+def test_line_key_disregards_case_blanks_and_numbers():
+    assert line_key("  Page 1  of 12\r") == line_key("PAGE 115 of 3")
+    assert line_key("ВСЕ права") == line_key("Все ПРАВА")
+
+
+def test_lines_are_all_numbered():
+    assert [r[2] for r in _lines(1, "T", "a\n\n b \n" + "x\n" * 300)] == [0, 2, *range(3, 303)]
+    assert list(_without(1, "a\nb\nc", [1])) == [(1, "a\nc")]
+
+
+def test_leak_needs_twelve_words():
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    f = _leaks({tuple(words(text)): [7]})
+    assert list(f(1, f"x {text.upper()}, y")) == [(1, 7)]
+    assert list(f(1, text.rsplit(" ", 1)[0])) == []
+
+
+def test_pieces_hold_the_whole_text():
+    for s in ("word " * 3000, "x" * 7001, "Sales rose a bit. " * 500, "Some words.\n\n" * 400, "営業利益率は低い。" * 900, "short", "y" * 3000 + " z" * 1500):
+        got = pieces(s)
+        assert got[0][0] == 0 and got[-1][1] == len(s) and all(0 < b - a <= 2000 for a, b in got)
+        assert all(a < c <= b and b - c <= 200 for (a, b), (c, _) in zip(got, got[1:]))
