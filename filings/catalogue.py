@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from filings.operators import snapshots, units
+from filings import registry
+from filings.operators import chunking, parsing, retrieval, snapshots, units  # noqa: F401
 
-QUERIES = {f.__name__: f for f in (snapshots.p4_found, snapshots.p4_totals, units.p7_found, units.p7_aliases)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (snapshots.p4_found, snapshots.p4_totals, units.p7_found, units.p7_aliases)} | registry.QUERIES
+SQL: dict[str, str] = registry.SQL
