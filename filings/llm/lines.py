@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filings.llm.form import line_keys
-from filings.run import components, rows, table, ticker
+from filings.run import STEP, components, cut, rows, table, ticker
 
 RECURS = 5  # sections of one ticker in which a line recurs
 SHINGLE, BANDS, WIDTH = 5, 4, 2  # lines of similarity 0.8 share a band with a probability of 0.98
@@ -36,36 +37,71 @@ def masked(k: str, names: frozenset[str]) -> list[str]:
     return ["¤" if w in names or w == "#" else w for w in _WORD.findall(k)]
 
 
-def signature(words: list[str]) -> list[int]:
-    """BANDS hashes; of lines under five words, which have one shingle, all come from the whole line."""
-    w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
-    n = max(1, len(w) - SHINGLE + 1)
-    s = np.full(n, len(w) if n == 1 else SHINGLE, np.uint64)
-    for j in range(min(SHINGLE, len(w))):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n]
-        s ^= s >> np.uint64(29)
-    least = (s[:, None] * _SEED[0] + _SEED[1]).min(axis=0)
-    least = least.reshape(BANDS, WIDTH)
-    band = (least[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (least[:, 1] * np.uint64(0x165667B19E3779F9) + np.arange(BANDS, dtype=np.uint64))
-    return (band ^ (band >> np.uint64(31))).astype(np.int64).tolist()
+_KNOWN: dict[str, int] = {}
+
 
+def _hash(w: str) -> int:
+    if (h := _KNOWN.get(w)) is None:
+        if len(_KNOWN) > 1 << 20:
+            _KNOWN.clear()
+        h = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
+    return h
 
-def _lines(section_id, tick, company, content) -> Iterator[tuple]:
-    names = frozenset(w for x in (tick, company) if x for w in _WORD.findall(line_keys(x)[0]) if w.isalpha())
-    own: dict[str, list[int]] = {}
-    for no, k in enumerate(line_keys(content)):
-        if k:
-            own.setdefault(k, []).append(no)
-    for k, nos in own.items():
-        yield section_id, tick, xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")), nos, signature(masked(k, names) or [k])
+
+def signatures(lines: list[list[str]]) -> np.ndarray:
+    """BANDS hashes of each line of words. A line under SHINGLE words is filled up, so that it has one shingle."""
+    if not lines:
+        return np.empty((0, BANDS), np.int64)
+    filled = [w if len(w) >= SHINGLE else [*w, *[""] * (SHINGLE - len(w))] for w in lines]
+    size = np.fromiter(map(len, filled), np.int64, len(filled))
+    h = np.fromiter(map(_hash, chain.from_iterable(filled)), np.uint64, int(size.sum()))
+    s = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - SHINGLE + 1 + j]
+        s ^= s >> np.uint64(29)
+    # Shingles that reach into the next line are taken out.
+    last = np.cumsum(size)
+    inside = np.ones(len(s), bool)
+    for j in range(1, SHINGLE):
+        at = last[:-1] - j
+        inside[at[at < len(s)]] = False
+    s = s[inside]
+    starts = np.r_[0, np.cumsum(size - SHINGLE + 1)[:-1]]
+    least = [np.minimum.reduceat(s * a + b, starts) for a, b in _SEED.T]
+    bands = [(least[2 * k] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (least[2 * k + 1] * np.uint64(0x165667B19E3779F9) + np.uint64(k)) for k in range(BANDS)]
+    return np.stack([(x ^ (x >> np.uint64(31))).view(np.int64) for x in bands], axis=1)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, STEP):
+            ids, ticks, keys, nos, words = [], [], [], [], []
+            for section_id, tick, company, content in zip(*(c.to_pylist() for c in b.slice(at, STEP).columns)):
+                names = frozenset(w for x in (tick, company) if x for w in _WORD.findall(line_keys(x)[0]) if w.isalpha())
+                own: dict[str, list[int]] = {}
+                for no, k in enumerate(line_keys(content)):
+                    if k:
+                        own.setdefault(k, []).append(no)
+                for k, where in own.items():
+                    ids.append(section_id)
+                    ticks.append(tick)
+                    keys.append(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")))
+                    nos.append(where)
+                    words.append(masked(k, names) or [k])
+            sig = signatures(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, I64), pa.array(ticks, STR), pa.array(keys, BIN), pa.array(nos, pa.list_(I64)), pa.ListArray.from_arrays(np.arange(len(sig) + 1, dtype=np.int32) * BANDS, sig.ravel())],
+                names=["section_id", "ticker", "k", "nos", "sig"],
+            )
 
 
 def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each section and different line, with the places of the line."""
     s = table(spark, sf_dir, "filing_sections").where("content is not null").select("section_id", ticker().alias("ticker"), "company", "content")
-    r = rows(s, _lines, "section_id long, ticker string, k binary, nos array<long>, sig array<long>", [I64, STR, BIN, pa.list_(I64), pa.list_(I64)])
+    r = s.mapInArrow(_lines, "section_id long, ticker string, k binary, nos array<long>, sig array<long>")
     # A section delivered in several rows counts once: its lines come together by section first.
-    return r.groupBy("ticker", "k", "section_id").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"), F.first("sig").alias("sig"))
+    # They are read several times below, and so written out once.
+    return cut(r.groupBy("ticker", "k", "section_id").agg(F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"), F.first("sig").alias("sig")))
 
 
 def _keys(own: DataFrame) -> DataFrame:
