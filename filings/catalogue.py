@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from filings import registry
-from filings.operators import audit, chunking, parsing, provenance, reconciliation, retrieval, scoring, snapshots, units, xbrl  # noqa: F401
+from filings.operators import audit, benchmark, changes, chunking, parsing, provenance, reconciliation, retrieval, risk, scoring, snapshots, units, xbrl  # noqa: F401
 
 QUERIES = {f.__name__: f for f in (snapshots.p4_found, snapshots.p4_totals, units.p7_found, units.p7_aliases)} | registry.QUERIES
 SQL: dict[str, str] = registry.SQL
