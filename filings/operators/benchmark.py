@@ -80,7 +80,7 @@ _MEANS = "configs AS (SELECT event_type AS config, user_id, avg(value) AS score
 
 def _configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Each configuration's mean score for each question (kinds of events and users stand in), and the best four configurations in order."""
-    c = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config"), "user_id").agg(F.avg("value").alias("score"))
+    c = table(spark, sf_dir, "events").where("event_type is not null").groupBy(F.col("event_type").alias("config"), "user_id").agg(F.avg("value").alias("score"))
     best = c.groupBy("config").agg(F.round(F.avg("score"), 6).alias("m")).orderBy(F.desc("m"), "config").limit(4)
     names = [r["config"] for r in best.collect()]
     pos = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)]) if names else F.create_map().cast("map<string,int>")

@@ -12,17 +12,20 @@ from filings.operators.reconciliation import PATTERNS
 from filings.registry import SQL, query
 from filings.run import table, ticker
 
-#: In order: fences, what stands around the outermost object, curly quotes, commas before a closing bracket, Python's names, digits parted by underscores.
-_REPAIRS = [(r"(?m)^\s*```(?:json)?[ \t]*|\s*```\s*$", ""), (r"(?s)^[^{]*", ""), (r"(?s)[^}]*$", ""), ("[“”]", '"'), (r",\s*([}\]])", "$1"), (r":\s*True\b", ": true"), (r":\s*False\b", ": false"), (r":\s*None\b", ": null"), (r"([0-9])_([0-9])", "$1$2")]
+#: In order, within the outermost object: curly quotes, commas before a closing bracket, Python's names, digits parted by underscores.
+_REPAIRS = [("[“”]", '"'), (r",\s*([}\]])", "$1"), (r":\s*True\b", ": true"), (r":\s*False\b", ": false"), (r":\s*None\b", ": null"), (r"([0-9])_([0-9])", "$1$2")]
+_OBJECT = r"(?s)(\{.*\})"
 
 
 def repaired(c: Column) -> Column:
+    c = F.regexp_extract(c, _OBJECT, 1)
     for p, to in _REPAIRS:
         c = F.regexp_replace(c, p, to)
     return c
 
 
 def sql_repaired(c: str) -> str:
+    c = f"regexp_extract({c}, '{_OBJECT}', 1)"
     for p, to in _REPAIRS:
         c = f"regexp_replace({c}, '{p}', '{to.replace('$', chr(92))}', 'g')"
     return c

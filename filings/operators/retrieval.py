@@ -21,11 +21,13 @@ BLOCK = 2048
 
 
 def dense(data: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, same: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank): for each query (id, v) the k rows of data (id, v) of the largest cosine, exactly; ties by id.
+    """(query_id, id, score, rank): for each query (id, v) the k rows of data (id, v) of the largest cosine, exactly; ties by id. Rows without a whole vector have no neighbours.
 
     Queries and data meet in blocks: one task multiplies at most about block queries with as many rows and keeps its k best
     of each query, so neither side is ever whole in a task. same: a column that a query and its rows share.
     """
+    whole = lambda d: d.where("id is not null and v is not null and forall(v, x -> x is not null)")
+    data, queries = whole(data), whole(queries)
     n, m = data.count(), queries.count()
     rows_, cols = max(1, -(-n // block)), max(1, -(-m // block))
     own = [same] if same else []
@@ -184,7 +186,7 @@ def hybrid_rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid's pool, scored pair by pair with the share of the question's words (the offline stand-in for a cross-encoder)."""
     pool = _hybrid(spark, sf_dir, POOL).join(_docs(spark, sf_dir).select("id", T.words(F.lower(F.col("content"))).alias("d")), "id")
     q = _items(spark, sf_dir).select("query_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("q"))
-    s = pool.join(q, "query_id").select("query_id", "id", "rank", F.round(F.size(F.array_intersect("q", "d")) / F.size("q"), 6).alias("score"))
+    s = pool.join(q, "query_id").select("query_id", "id", "rank", F.round(F.when(F.size("q") == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect("q", "d")), F.size("q"))), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     return s.withColumn("r", F.row_number().over(w) - 1).where(F.col("r") < TOP).select("query_id", "id", "score", F.col("r").alias("rank"))
 
