@@ -40,8 +40,8 @@ def dense(data: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, same:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         a, b = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((right, "qv"), (left, "v")))
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        s, ids, qs = np.round(a @ b.T, 9), left.column("id").to_numpy(), right.column("query_id").to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        s, ids, qs = a @ b.T, left.column("id").to_numpy(), right.column("query_id").to_numpy()
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 6)), axis=1)[:, :k]
         return pa.table({"query_id": np.repeat(qs, order.shape[1]), "id": ids[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
 
     near = d.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, "query_id long, id long, score double")

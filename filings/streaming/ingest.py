@@ -18,4 +18,4 @@ def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> Stre
 
 def late_totals(events: DataFrame, late: str = "1 day", window: str = "1 hour") -> DataFrame:
     """Counts of a stream of events (ts, event_type) by window, closed once later events can't come."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("window.start", "event_type", "n", "value")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("window.start", "event_type", "n", "value")
