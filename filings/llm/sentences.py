@@ -20,7 +20,7 @@ from filings.llm.words import first, last
 from filings.run import rows, table
 
 _BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*")
-_MARK = re.compile(r"[.!?…。｡।॥]+|[“”„«»「」『』\"()\[\]]|(?<=[฀-๿])\s+(?=[฀-๿])")
+_MARK = re.compile(r"[.!?…。｡।॥]+|[“”„«»「」『』\"()\[\]]|(?<=[\u0e00-\u0e7f])\s+(?=[\u0e00-\u0e7f])")
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]"}
 _CLOSERS = "”“»」』)]\"’'"
 _TERMINAL = ".!?…。｡।॥"
@@ -63,7 +63,7 @@ def _upper(c: str, after: str) -> bool:
 
 
 def _cjk(c: str) -> bool:
-    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿"
+    return "\u3040" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "\ufaff"
 
 
 def _ends(p: str, began: int, at: int, end: int) -> bool:

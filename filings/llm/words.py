@@ -13,7 +13,7 @@ from functools import cache, lru_cache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WINDOW = 24  # characters beside a gap; longer words than half of it aren't in the dictionary
-_LETTERS = re.compile(r"[฀-๿]+|[぀-ヿ㐀-鿿豈-﫿]+")
+_LETTERS = re.compile(r"[\u0e00-\u0e7f]+|[\u3040-ヿ㐀-鿿豈-\ufaff]+")
 #: Words that a vocabulary of pieces may lack.
 _FUNCTION = "และ หรือ ที่ ซึ่ง อัน ของ ใน จาก โดย กับ แก่ ต่อ เพื่อ เพราะ แต่ แต่ว่า ว่า ให้ ถึง จน ๆ ฯ ฯลฯ คน รายการ ล้าน บาท ดอลลาร์ เปอร์เซ็นต์ ร้อยละ คือ เช่น ได้แก่ คุณ นาย นาง นางสาว บริษัท บริษัทฯ ประมาณ ราว ครับ ค่ะ คะ นะ แล้ว เลย ไหม มั้ย หรอ เถอะ สิ ซิ จ้ะ จ๊ะ ด้วย อย่างไรก็ตาม นอกจากนี้ ดังนั้น ทั้งนี้ ต่อมา โดยสรุป คณะกรรมการ พนักงาน ลูกค้า รายได้ ต้นทุน อัตรา สินค้า ผู้สอบบัญชี ฝ่ายจัดการ ความผันผวน ภาพรวม เอกสาร กำหนด ทันกำหนด ในปีนี้ ปีนี้ เป็นครั้งแรก กรรมการ ราคาตลาด คำสั่งซื้อ ต่ออายุ หนังสือ คงเหลือ กำไร と って という といった との とは とも として などと っ 表示 说 称 指出"
 
