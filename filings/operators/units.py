@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filings.functions.units import resolve
+from filings.registry import query
 from filings.run import rows, table, ticker
 
 
@@ -127,6 +128,7 @@ def _xbrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("scale", true).where("scale <> 1").select(F.lit("xbrl_facts").alias("table_name"), F.col("fact_id").alias("record_id"), F.round(v * F.col("scale") * 1000).cast("long").alias("amount"))
 
 
+@query("")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null numbers, other currencies and shares are no cases; a null field counts as money; rows repeated under one id come out once."""
     pct = F.coalesce(F.col("field_name").endswith("_pct"), F.lit(False))
@@ -135,6 +137,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _xbrl(spark, sf_dir).unionAll(rows(s, _structured, _SCHEMA, _TYPES)).unionAll(rows(f, _finding, _SCHEMA, _TYPES)).distinct()
 
 
+@query("")
 def p7_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alias dictionary of the unit columns."""
     return aliases(table(spark, sf_dir, "xbrl_facts").select("unit").unionAll(table(spark, sf_dir, "structured_facts").select("unit")))
