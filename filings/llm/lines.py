@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,28 +25,44 @@ RECURS = 5  # sections of one ticker in which a line recurs
 SHINGLE, BANDS, WIDTH = 5, 4, 2  # lines of similarity 0.8 share a band with a probability of 0.98
 I64, STR, BIN = pa.int64(), pa.string(), pa.binary()
 
-_MONTH = r"jan(?:uary|uar|vier)?|feb(?:ruary|ruar)?|févr(?:ier)?|mar(?:ch|s|zo)?|märz|apr(?:il)?|avril|abril|may|mai|mayo|june?|juni|juin|junio|july?|juli|juillet|julio|aug(?:ust)?|août|agosto|sept?(?:ember|embre|iembre)?|o[ck]t(?:ober|obre|ubre)?|nov(?:ember|embre|iembre)?|de[cz](?:ember|embre)?|déc(?:embre)?|dic(?:iembre)?"
-_DATE = re.compile(rf"(?:#(?:st|nd|rd|th)?\.?\s+(?:de\s+)?(?:{_MONTH})\b\.?(?:,?\s+(?:de\s+)?#)?|\b(?:{_MONTH})\b\.?\s+#(?:,\s*#)?|#[./-]#[./-]#|#年#月(?:#日)?)")
+#: Names of months and their short forms, in the languages of the texts.
+_MONTHS = frozenset(
+    "jan january januar janvier enero ene feb february februar février févr febrero mar march märz mars marzo apr april avril abril abr may mai mayo jun june juni juin junio jul july juli juillet julio aug august août agosto ago sep sept september septembre septiembre oct october okt oktober octobre octubre nov november novembre noviembre dec december dez dezember décembre déc diciembre dic".split()
+)
+_BETWEEN = frozenset("de of st nd rd th 年 月 日".split())  # what may stand between the parts of a date
+_INNER = _MONTHS | _BETWEEN
 _WORD = re.compile(r"[^\W_]+|[#¤]")
 _SEED = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, BANDS * WIDTH), dtype=np.uint64) | np.uint64(1)
 
 
 def masked(k: str, names: frozenset[str]) -> list[str]:
-    """The words of a line's key with dates, numbers and the words of names (those of the company and its ticker) as one sign each."""
-    if "#" in k:
-        k = _DATE.sub("¤", k)
-    return ["¤" if w in names or w == "#" else w for w in _WORD.findall(k)]
+    """The words of a line's key with numbers, dates and the words of names (those of the company and its ticker) as one sign for each run of them."""
+    w = _WORD.findall(k)
+    if "#" not in k and names.isdisjoint(w):
+        return w
+    out: list[str] = []
+    for x in w:
+        if x == "#" or x in names:
+            if len(out) > 1 and out[-1] in _INNER and out[-2] == "¤" or out and out[-1] in _MONTHS:
+                out.pop()
+            if out[-1:] != ["¤"]:
+                out.append("¤")
+        elif not (x in _MONTHS and out[-1:] == ["¤"]):
+            out.append(x)
+    return out
 
 
-_KNOWN: dict[str, int] = {}
+class Hashes(dict):
+    """The hashes of the words that a process has met."""
 
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[w] = h = xxhash.xxh3_64_intdigest(w)
+        return h
 
-def _hash(w: str) -> int:
-    if (h := _KNOWN.get(w)) is None:
-        if len(_KNOWN) > 1 << 20:
-            _KNOWN.clear()
-        h = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-    return h
+
+_KNOWN = Hashes()
 
 
 def signatures(lines: list[list[str]]) -> np.ndarray:
@@ -54,7 +71,7 @@ def signatures(lines: list[list[str]]) -> np.ndarray:
         return np.empty((0, BANDS), np.int64)
     filled = [w if len(w) >= SHINGLE else [*w, *[""] * (SHINGLE - len(w))] for w in lines]
     size = np.fromiter(map(len, filled), np.int64, len(filled))
-    h = np.fromiter(map(_hash, chain.from_iterable(filled)), np.uint64, int(size.sum()))
+    h = np.fromiter(map(_KNOWN.__getitem__, chain.from_iterable(filled)), np.uint64, int(size.sum()))
     s = np.zeros(len(h) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - SHINGLE + 1 + j]
@@ -72,12 +89,17 @@ def signatures(lines: list[list[str]]) -> np.ndarray:
     return np.stack([(x ^ (x >> np.uint64(31))).view(np.int64) for x in bands], axis=1)
 
 
+@lru_cache(1 << 14)
+def _names(*names: str | None) -> frozenset[str]:
+    return frozenset(w for x in names if x for w in _WORD.findall(line_keys(x)[0]) if w.isalpha())
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, STEP):
             ids, ticks, keys, nos, words = [], [], [], [], []
             for section_id, tick, company, content in zip(*(c.to_pylist() for c in b.slice(at, STEP).columns)):
-                names = frozenset(w for x in (tick, company) if x for w in _WORD.findall(line_keys(x)[0]) if w.isalpha())
+                names = _names(tick, company)
                 own: dict[str, list[int]] = {}
                 for no, k in enumerate(line_keys(content)):
                     if k:
