@@ -11,26 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filings.llm.form import words
+from filings.llm.lines import Hashes
 from filings.run import rows, table
 
 NGRAM = 12
 #: Sketched shingles that are sent to the tasks as they are (32 bytes each); more of them are joined by a shuffle.
 SENT = 1 << 18
 I64 = pa.int64()
-_KNOWN: dict[str, int] = {}
-
-
-def _hash(w: str) -> int:
-    if (h := _KNOWN.get(w)) is None:
-        if len(_KNOWN) > 1 << 20:
-            _KNOWN.clear()
-        h = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-    return h
+_KNOWN = Hashes()
 
 
 def shingles(w: list[str]) -> np.ndarray:
@@ -38,7 +30,7 @@ def shingles(w: list[str]) -> np.ndarray:
     n = len(w) - NGRAM + 1
     if n < 1:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_hash, w), np.uint64, len(w))
+    h = np.fromiter(map(_KNOWN.__getitem__, w), np.uint64, len(w))
     out = np.zeros(n, np.uint64)
     for j in range(NGRAM):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
