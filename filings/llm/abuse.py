@@ -143,11 +143,13 @@ def instances(text: str | None) -> list[list[int]]:
     """The buckets of the terms of each sentence of a text; a null or blank text has none."""
     if not text or not (s := plain(text)):
         return []
-    hits = [(m.start(), _CLASSES[m.lastgroup]) for m in _PATTERN.finditer(s)] if next(_held().iter(s), None) else []
-    out, began = [], 0
+    held = [at for at, _ in _held().iter(s)]
+    out, began, k = [], 0, 0
     for end in [*(m.end() for m in _END.finditer(s)), len(s)]:
-        part = s[began:end]
-        own = [c for at, c in hits if began <= at < end]
+        part, first = s[began:end], k
+        while k < len(held) and held[k] < end:
+            k += 1
+        own = [_CLASSES[m.lastgroup or ""] for m in _PATTERN.finditer(s, began, end)] if k > first else []
         w = _TOKEN.findall(part)
         if w or own:
             if _SCRIPTS.search(part):
