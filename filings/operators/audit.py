@@ -64,12 +64,12 @@ _CHECKS = {
     "yoy_growth_consistency": ("(revenue - prior_period_revenue) / nullif(prior_period_revenue, 0) * 100", "yoy_revenue_growth_pct", f"abs((revenue - prior_period_revenue) / nullif(prior_period_revenue, 0) * 100 - yoy_revenue_growth_pct) > {POINTS}", "high"),
     "ordering_net_vs_gross": ("gross_profit", "net_income", f"net_income > gross_profit * {ORDER}", "medium"),
 }
-_ANOMALIES = "anomalies AS (" + " UNION ALL ".join(f"SELECT ticker, '{k}' AS \"check\", round({e}, 4) AS expected, round({s}, 4) AS stated, '{v}' AS severity FROM wide WHERE {off}" for k, (e, s, off, v) in _CHECKS.items()) + ")"
+_ANOMALIES = "anomalies AS (" + " UNION ALL ".join(f"SELECT ticker, '{k}' AS \"check\", round({e}, 2) AS expected, round({s}, 2) AS stated, '{v}' AS severity FROM wide WHERE {off}" for k, (e, s, off, v) in _CHECKS.items()) + ")"
 
 
 def anomalies(wide: DataFrame) -> DataFrame:
     """(ticker, check, expected, stated, severity). A check runs only if its inputs are there and its divisor isn't 0: null is never off."""
-    all_ = F.array(*(F.when(F.expr(off), F.struct(F.lit(k).alias("check"), F.round(F.expr(f"cast({e} as double)"), 4).alias("expected"), F.round(F.expr(s), 4).alias("stated"), F.lit(v).alias("severity"))) for k, (e, s, off, v) in _CHECKS.items()))
+    all_ = F.array(*(F.when(F.expr(off), F.struct(F.lit(k).alias("check"), F.round(F.expr(f"cast({e} as double)"), 2).alias("expected"), F.round(F.expr(s), 2).alias("stated"), F.lit(v).alias("severity"))) for k, (e, s, off, v) in _CHECKS.items()))
     return wide.select("ticker", F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("x")).select("ticker", "x.*")
 
 

@@ -102,6 +102,21 @@ def paragraph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filing_diff(spark, sf_dir)
 
 
+SPAN = 1 << 16  # ids that are numbered in one task
+
+
+def numbered(df: DataFrame, keys: list[str], parts: list, order: str) -> DataFrame:
+    """df with r, the place from 1 of each row of its group by parts and order. Only a part is ever sorted in one task: what is before it comes from the counts of the parts."""
+    names = [f"_p{k}" for k in range(len(parts))]
+    d = df.withColumns({n: F.col(p) if isinstance(p, str) else p for n, p in zip(names, parts)})
+    counts = d.groupBy(*keys, *names).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy(*names)) - F.col("_n")).drop("_n")
+    own = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(order)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, *names)]
+    j = own.alias("a").join(before.alias("b"), same)
+    return j.select("a.*", (F.col("b._before") + F.col("a._r")).cast("int").alias("r")).drop(*names, "_r")
+
+
 _KIND = "CASE WHEN regexp_matches(lower(trim(change_type)), '^(add|new)') THEN 'added' WHEN regexp_matches(lower(trim(change_type)), '^(rem|del)') THEN 'removed' WHEN regexp_matches(lower(trim(change_type)), '^(mod|cha|upd|edit)') THEN 'modified' ELSE 'unknown' END"
 
 
@@ -126,7 +141,7 @@ def severity_sorted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.lower("severity")
     order = F.when(s == "critical", 0).when(s == "high", 1).when(s == "medium", 2).when(s == "low", 3).otherwise(4)
     c = table(spark, sf_dir, "filing_changes").select("change_id", ticker().alias("ticker"), "severity", order.alias("o"))
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("ticker").orderBy("o", "change_id"))).drop("o")
+    return numbered(c, ["ticker"], ["o", F.floor(F.col("change_id") / SPAN)], "change_id").select("change_id", "ticker", "severity", "r")
 
 
 _SEVERITY = "CASE " + " ".join(f"WHEN regexp_matches(lower(t), '{p}') THEN '{k}'" for k, p in RULES.items()) + " ELSE 'low' END"

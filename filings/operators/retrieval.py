@@ -35,7 +35,7 @@ def dense(data: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, same:
     q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), *own, F.pmod(F.xxhash64("id"), F.lit(cols)).alias("c")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows_ - 1))))
     keys = ["r", "c", *own]
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+    def block_best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         a, b = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((right, "qv"), (left, "v")))
@@ -44,9 +44,9 @@ def dense(data: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, same:
         order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 6)), axis=1)[:, :k]
         return pa.table({"query_id": np.repeat(qs, order.shape[1]), "id": ids[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
 
-    near = d.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(best, "query_id long, id long, score double")
+    near = d.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(block_best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
-    return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "id", F.round("score", 6).alias("score"), (F.col("r") - 1).alias("rank"))
 
 
 _DENSE_SQL = """
@@ -70,6 +70,11 @@ def dense_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(*_vectors(spark, sf_dir), TOP, same="label")
 
 
+def best(df: DataFrame, w, k: int) -> DataFrame:
+    """The first k rows of each group, with rank from 0. The bare row number is filtered, so that each task keeps k rows of a group before anything is shuffled."""
+    return df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).withColumn("rank", F.col("r") - 1).drop("r")
+
+
 # --- sparse ----------------------------------------------------------------------------------------------------------
 
 
@@ -97,7 +102,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     gain = F.col("times") * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     s = hit.groupBy("query_id", "part", "id").agg(F.round(F.sum(gain), 6).alias("score"))
     w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w) - 1).where((F.col("rank") < k) & (F.col("score") > 0))
+    return best(s, w, k).where("score > 0")
 
 
 def words_cosine(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -108,7 +113,7 @@ def words_cosine(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     dot = p.join(q, "term").groupBy("query_id", "part", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("dot"))
     s = dot.join(norm, ["part", "id"]).join(qnorm, "query_id").select("query_id", "part", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm") + 1e-8), 6).alias("score"))
     w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return best(s, w, k)
 
 
 def _sql(part: str = "''") -> str:
@@ -166,7 +171,7 @@ def fuse(near: DataFrame, sparse: DataFrame, docs: DataFrame, k: int) -> DataFra
     part = lambda w, c: F.coalesce(F.lit(w) / (F.lit(RRF) + F.col(c)), F.lit(0.0))
     j = j.select("query_id", F.coalesce("a_max", "b_min").alias("id"), F.round(part(DENSE, "a_last") + part(SPARSE, "b_last"), 9).alias("score"), "a_first", "b_first")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("a_first"), F.asc_nulls_last("b_first"), "id")
-    return j.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(*_OUT)
+    return best(j, w, k).select(*_OUT)
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -186,9 +191,8 @@ def hybrid_rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid's pool, scored pair by pair with the share of the question's words (the offline stand-in for a cross-encoder)."""
     pool = _hybrid(spark, sf_dir, POOL).join(_docs(spark, sf_dir).select("id", T.words(F.lower(F.col("content"))).alias("d")), "id")
     q = _items(spark, sf_dir).select("query_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("q"))
-    s = pool.join(q, "query_id").select("query_id", "id", "rank", F.round(F.when(F.size("q") == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect("q", "d")), F.size("q"))), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
-    return s.withColumn("r", F.row_number().over(w) - 1).where(F.col("r") < TOP).select("query_id", "id", "score", F.col("r").alias("rank"))
+    s = pool.withColumnRenamed("rank", "pool_rank").join(q, "query_id").select("query_id", "id", "pool_rank", F.round(F.when(F.size("q") == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect("q", "d")), F.size("q"))), 6).alias("score"))
+    return best(s.drop("rank"), Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_rank"), TOP).select(*_OUT)
 
 
 @query("R8 A23", f"WITH {_sql(T.TICKER)} SELECT query_id, part AS ticker, id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank < {PER_COMPANY} AND score > 0")
