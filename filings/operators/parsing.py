@@ -92,7 +92,7 @@ def marked_paragraphs(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, paragraph, text): the texts after [N] or Paragraph N: at the start of a line; of one number the last holds. Without any mark, the blocks between blank lines, from 1."""
     c = F.regexp_replace(text, r"(?m)^[ \t]*(?:\[(\d+)\]|Paragraph (\d+):)", "\u0001$1$2\u0002")
     marked = docs.select(id_, F.posexplode(F.split(c, "\u0001")).alias("pos", "part")).where(F.col("part").contains("\u0002"))
-    marked = marked.select(id_, "pos", F.substring_index("part", "\u0002", 1).cast("int").alias("paragraph"), T.strip(F.substring_index("part", "\u0002", -1)).alias("text"))
+    marked = marked.select(id_, "pos", F.substring_index("part", "\u0002", 1).try_cast("int").alias("paragraph"), T.strip(F.substring_index("part", "\u0002", -1)).alias("text"))
     marked = marked.groupBy(id_, "paragraph").agg(F.max_by("text", "pos").alias("text"))
     plain = docs.where(~F.coalesce(F.col(text).rlike(r"(?m)^[ \t]*(?:\[\d+\]|Paragraph \d+:)"), F.lit(True)))
     blocks = F.filter(F.transform(F.split(text, rf"\n{T.WS}*\n"), T.strip), lambda x: x != "")
@@ -102,7 +102,7 @@ def marked_paragraphs(docs: DataFrame, id_: str, text: str) -> DataFrame:
 SQL_PARAGRAPHS = rf"""
     docs AS (SELECT chunk_id, content, regexp_matches(content, '(?m)^[ \t]*(?:\[[0-9]+\]|Paragraph [0-9]+:)') AS m FROM chunks WHERE content IS NOT NULL),
     parts AS (SELECT chunk_id, unnest(string_split(regexp_replace(content, '(?m)^[ \t]*(?:\[([0-9]+)\]|Paragraph ([0-9]+):)', chr(1) || '\1\2' || chr(2), 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(content, '(?m)^[ \t]*(?:\[([0-9]+)\]|Paragraph ([0-9]+):)', chr(1) || '\1\2' || chr(2), 'g'), chr(1)), 1) AS pos FROM docs WHERE m),
-    marked AS (SELECT chunk_id, CAST(split_part(part, chr(2), 1) AS INTEGER) AS paragraph, arg_max({T.sql_strip('split_part(part, chr(2), 2)')}, pos) AS text FROM parts WHERE contains(part, chr(2)) GROUP BY ALL),
+    marked AS (SELECT chunk_id, TRY_CAST(split_part(part, chr(2), 1) AS INTEGER) AS paragraph, arg_max({T.sql_strip('split_part(part, chr(2), 2)')}, pos) AS text FROM parts WHERE contains(part, chr(2)) GROUP BY ALL),
     blocks AS (SELECT chunk_id, list_filter(list_transform(string_split(regexp_replace(content, '\n{T.SQL_WS}*\n', chr(1), 'g'), chr(1)), lambda x: {T.sql_strip('x')}), lambda x: x <> '') AS b FROM docs WHERE NOT m),
     paragraphs AS (SELECT * FROM marked UNION ALL SELECT chunk_id, CAST(generate_subscripts(b, 1) AS INTEGER) AS paragraph, unnest(b) AS text FROM blocks)"""
 

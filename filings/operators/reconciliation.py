@@ -115,7 +115,7 @@ _SCORED = _SCORED.replace("any AS (SELECT", '"any" AS (SELECT', 1).replace("AS a
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finding of a question's field, else the ticker's first finding, decides."""
-    which = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("item_id") % 6 + 1).cast("int"))
+    which = F.element_at(F.array(*map(F.lit, _ASKED)), (F.pmod("item_id", F.lit(6)) + 1).cast("int"))
     q = table(spark, sf_dir, "eval_items").select("qid", ticker().alias("ticker"), "field", expected_pattern(F.concat(F.lit("k=v; expected_pattern="), which, F.lit(" ; x=y"))).alias("expected"))
     f = table(spark, sf_dir, "reconciliation_findings").where("delta_pattern is not null").select(ticker().alias("ticker"), F.col("field_name").alias("field"), "delta_pattern", "finding_id")
     own = f.groupBy("ticker", "field").agg(F.min_by("delta_pattern", "finding_id").alias("own"))

@@ -158,7 +158,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.create_map(*[F.lit(x) for kv in FIELD_WORDS.items() for x in kv])[F.col("field")]
     a = recent.join(one, ["ticker", "period_end"]).where(F.col("field").isin("revenue", "cogs", "net_income"))
     b = nth(idx).join(one, ["ticker", "period_end"]).where(F.col("field").isin("revenue", "cogs"))
-    day = F.date_format(F.to_date("period_end"), "MMMM dd, yyyy")
+    day = F.date_format(F.try_to_date("period_end"), "MMMM dd, yyyy")
     a = a.select(F.concat_ws("_", F.lit("A"), "ticker", "field").alias("qid"), F.lit("A_clean").alias("bucket"), "ticker", "field", F.concat(F.lit("What was the most recent quarterly "), words, F.lit(" of "), "ticker", F.lit("?")).alias("text"), F.col("value").alias("expected"))
     b = b.select(F.concat_ws("_", F.lit("B"), "ticker", "field", "period_end").alias("qid"), F.lit("B_period").alias("bucket"), "ticker", "field", F.concat(F.lit("What was the "), words, F.lit(" of "), "ticker", F.lit(" for the quarter ending "), day, F.lit("?")).alias("text"), F.col("value").alias("expected"))
     return a.unionAll(b)
