@@ -266,3 +266,21 @@ def test_models(spark):
         models.healed(Clumsy(), "x", attempts=2)
     got = models.answered(spark.createDataFrame([(1, "Hello world"), (2, None)], "i long, p string")).orderBy("id").collect()
     assert got[0]["model"] == "rules" and "Hello" in got[0]["answer"] and got[1]["answer"] is None and got[1]["error"] is None
+
+
+def test_amounts_in_the_common_unit(spark, tmp_path):
+    facts = [(k, "t ", "revenue", 100.0 + k, "USD_millions", 91) for k in range(12)]
+    facts += [
+        (100, "T", "revenue", 105_000.0, "USD_millions", 91), (101, "T", "revenue", 0.105, None, 91), (102, "T", "revenue", 420.0, "USD_millions", 365), (103, "T", "revenue", 104e6, "USD", 91), (104, "T", "revenue", 104_000.0, "USDth", 92),
+        (105, "T", "revenue", 9.0, "EUR", 91), (106, "T", "revenue", 9.0, "shares", 91), (107, "T", "revenue", None, "USD", 91), (108, "T", "revenue", 0.0, "USD_millions", 91), (109, "T", "revenue", 104.0, "", 0), (110, None, None, 5.0, "Mrd. USD", None), (111, "T", "revenue", -105_000.0, "USD_millions", 91),
+    ]
+    spark.createDataFrame(facts, "fact_id long, ticker string, field string, value_usd_millions double, unit string, duration_days int").write.parquet(str(tmp_path / "xbrl_facts.parquet"))
+    s = [(1, "revenue", 5.0, "USD bn", None), (2, "revenue", 5.0, "USD_millions", "Revenue was $5 billion."), (3, "gross_margin_pct", 0.25, "ratio", None), (4, "gross_margin_pct", 25.0, "percent", None), (5, "revenue", None, "USD", "x"), (6, None, 7.0, "US dolars", None), (7, "revenue", 5.0, "CHF_millions", None)]
+    spark.createDataFrame(s, "structured_fact_id long, field_name string, fact_value double, unit string, source_quote string").write.parquet(str(tmp_path / "structured_facts.parquet"))
+    r = [(1, "cogs", 4.2e7, 42.0, None), (2, "cogs", 42.0, 42.0, None), (3, "cogs", 42.0, None, None), (4, "cogs", 0.042, 40.0, "Prose says Cogs of US$0.042bn here"), (5, None, None, 1.0, None)]
+    spark.createDataFrame(r, "finding_id long, field_name string, prose_value double, xbrl_value double, rationale string").write.parquet(str(tmp_path / "reconciliation_findings.parquet"))
+    got = {(x["table_name"][0], x["record_id"]): x["amount"] for x in units.p7_found(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("x", 100): 105_000, ("x", 101): 105_000, ("x", 103): 104_000, ("x", 104): 104_000, ("x", 110): 5_000_000, ("x", 111): -105_000,
+        ("s", 1): 5_000_000, ("s", 2): 5_000_000, ("s", 3): 2500, ("s", 6): 0, ("r", 1): 42_000, ("r", 4): 42_000,
+    }
