@@ -74,17 +74,20 @@ def _literal(p: str) -> str:
 _WORDS = [folded(b) for p in _ALWAYS.values() for b in _branches(p)]
 _PLACED = [folded(b) for p in _IN_PLACE for b in _branches(p)]
 _PARTS = [folded(b) for p in _ANY for b in _branches(p)]
-_PATTERN = re.compile("|".join([f"(?P<w>{'|'.join(rf'(?<!\w)(?:{p})(?!\w)' for p in _WORDS)})", f"(?P<p>{'|'.join(rf'(?<!\w)(?:{p})' for p in _PLACED)})", f"(?P<a>{'|'.join(_PARTS)})"]))
+#: Each pattern with its class and the longest part that all its matches hold.
+_PATTERNS = [(re.compile(rf"(?<!\w)(?:{p})(?!\w)"), "w", _literal(p)) for p in _WORDS] + [(re.compile(rf"(?<!\w)(?:{p})"), "p", _literal(p)) for p in _PLACED] + [(re.compile(p), "a", _literal(p)) for p in _PARTS]
 #: A text that holds none of these holds no match; those that hold another are left out.
-_HOLDS = sorted({_literal(p) for p in _WORDS + _PLACED + _PARTS}, key=len)
+_HOLDS = sorted({x for *_, x in _PATTERNS}, key=len)
 _HOLDS = [x for k, x in enumerate(_HOLDS) if not any(y in x for y in _HOLDS[:k])]
 
 
 @cache
 def _held() -> ahocorasick.Automaton:
+    """Finds the parts in a text, each with the patterns that may match where it is."""
+    assert all(_HOLDS)
     a = ahocorasick.Automaton()
     for x in _HOLDS:
-        a.add_word(x, 1)
+        a.add_word(x, tuple((p, c) for p, c, y in _PATTERNS if x == next(h for h in _HOLDS if h in y)))
     a.make_automaton()
     return a
 
@@ -108,15 +111,13 @@ def _star(m: re.Match) -> str:
 
 
 def _leet(token: str) -> str:
-    if _LEETS.isdisjoint(token):
-        return token
     t = token.rstrip("!")
     return t.translate(_LEET) + token[len(t) :] if len(t) > 2 and _LETTER.search(t) else token
 
 
 def plain(text: str) -> str:
     """The text folded and in plain spelling: stars, digits for letters, spaced and drawn-out words undone."""
-    s = " ".join(map(_leet, folded(text).split()))
+    s = " ".join([t if _LEETS.isdisjoint(t) else _leet(t) for t in folded(text).split()])
     if any(c in s for c in _TRIPLES):
         s = _LONG.sub(r"\1", s)
     if "*" in s:
@@ -143,13 +144,13 @@ def instances(text: str | None) -> list[list[int]]:
     """The buckets of the terms of each sentence of a text; a null or blank text has none."""
     if not text or not (s := plain(text)):
         return []
-    held = [at for at, _ in _held().iter(s)]
+    held = [*_held().iter(s)]
     out, began, k = [], 0, 0
     for end in [*(m.end() for m in _END.finditer(s)), len(s)]:
         part, first = s[began:end], k
-        while k < len(held) and held[k] < end:
+        while k < len(held) and held[k][0] < end:
             k += 1
-        own = [_CLASSES[m.lastgroup or ""] for m in _PATTERN.finditer(s, began, end)] if k > first else []
+        own = [*{m.start(): _CLASSES[c] for p, c in {x: None for _, ps in held[first:k] for x in ps} for m in p.finditer(s, began, end)}.values()] if k > first else []
         w = _TOKEN.findall(part)
         if w or own:
             if _SCRIPTS.search(part):
