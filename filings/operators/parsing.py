@@ -50,31 +50,51 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "filing_sections").where("content is not null").select("section_id", html_text(page).alias("content"))
 
 
+def _head(name: str, nbsp: str) -> str:
+    gap = _GAP.replace("\\u00a0", nbsp)
+    return rf"(?i)item[\s{nbsp}]*{_HEADS[name][0]}{gap}{_HEADS[name][1].replace(' ', rf'[\s{nbsp}]+')}"
+
+
+_BODY = r"(?is)^(.*?)(?:\n\s*item[\s\u00a0]*\d+[a-z]?[\s\u00a0.:\-–—]+.*)?$"
+_FIRST = {k: f"Item {v[0].upper()}. {v[1].title()}\n" for k, v in _HEADS.items()}
+_SQL_BODY = _BODY.replace("\\u00a0", r"\x{a0}")
+
+
+def _sql_sections() -> str:
+    prefix = "CASE section_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FIRST.items()) + " END"
+    some = lambda k: f"list_transform(regexp_split_to_array(text, '{_head(k, chr(92) + 'x{a0}')}')[2:], lambda x: regexp_extract(x, '{_SQL_BODY}', 1))"
+    parts = " UNION ALL ".join(f"SELECT accession_number, '{k}' AS section_name, {some(k)} AS s FROM texts" for k in _HEADS)
+    content = T.sql_clean("coalesce(list_filter(s, lambda x: length(x) > 200)[1], s[1])")
+    return f"""
+    WITH one AS (SELECT accession_number, section_name, arg_min(content, section_id) AS content FROM filing_sections WHERE content IS NOT NULL GROUP BY 1, 2),
+    texts AS (SELECT accession_number, '{''.join(_FIRST.values())}' || chr(10) || string_agg({prefix} || content, chr(10) ORDER BY section_name) AS text FROM one GROUP BY 1),
+    parts AS ({parts}), cleaned AS (SELECT accession_number, section_name, {content} AS content FROM parts)
+    SELECT * FROM cleaned WHERE len({T.sql_words('content')}) > {SECTION_WORDS}"""
+
+
 def sections_of(filings: DataFrame) -> DataFrame:
     """(filing_id, section_name, content) of filings (filing_id, text): from a section's heading to the next item's, the whole of it.
 
     A first hit whose section is 200 characters or shorter is taken for the table of contents, and the next hit holds.
     """
-    head = lambda name: rf"(?i)item[\s\u00a0]*{_HEADS[name][0]}{_GAP}{_HEADS[name][1].replace(' ', '[\\s\\u00a0]+')}"
-    body = r"(?is)^(.*?)(?:\n\s*item[\s\u00a0]*\d+[a-z]?[\s\u00a0.:\-–—]+.*)?$"
     parts = []
     for name in _HEADS:
-        split = F.split("text", head(name))
-        some = F.transform(F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0))), lambda x: F.regexp_extract(x, body, 1))
+        split = F.split("text", _head(name, r"\u00a0"))
+        some = F.transform(F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0))), lambda x: F.regexp_extract(x, _BODY, 1))
         long_ = F.filter(some, lambda x: F.length(x) > 200)
         parts.append(F.struct(F.lit(name).alias("section_name"), T.clean(F.when(F.size(long_) > 0, long_[0]).otherwise(F.try_element_at(some, F.lit(1)))).alias("content")))
     found = filings.select("filing_id", F.explode(F.array(*parts)).alias("s")).select("filing_id", "s.*")
     return found.where(F.size(T.words(F.col("content"))) > SECTION_WORDS)
 
 
-@query("P3 S14")
+@query("P3 S14", _sql_sections())
 def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings written out from their sections, with a table of contents, and sectioned again."""
     s = table(spark, sf_dir, "filing_sections").where("content is not null")
-    no = F.create_map(*[F.lit(x) for k, v in _HEADS.items() for x in (k, f"Item {v[0].upper()}. {v[1].title()}\n")])
+    no = F.create_map(*[F.lit(x) for kv in _FIRST.items() for x in kv])
     one = s.groupBy("accession_number", "section_name").agg(F.min_by("content", "section_id").alias("content"))
     text = one.groupBy("accession_number").agg(F.array_sort(F.collect_list(F.struct("section_name", F.concat(no[F.col("section_name")], F.col("content")).alias("c")))).alias("p"))
-    toc = F.concat(*[F.lit(f"Item {v[0].upper()}. {v[1].title()}\n") for v in _HEADS.values()])
+    toc = F.lit("".join(_FIRST.values()))
     return sections_of(text.select(F.col("accession_number").alias("filing_id"), F.concat(toc, F.lit("\n"), F.array_join(F.transform("p", lambda x: x["c"]), "\n")).alias("text"))).withColumnRenamed("filing_id", "accession_number")
 
 
