@@ -76,14 +76,16 @@ class _Checks:
 
     def learn(self, new: set[str]) -> None:
         self.seen |= new
-        self.mapped |= {c for c in new if _whole(c) != c}
-        self.marks |= {c for c in new if c not in self.mapped and (U.combining(c) or c in _MAYBE)}
-        if self.mapped:
-            u, m = (f"[{''.join(map(re.escape, sorted(x)))}]" for x in (self.mapped, self.mapped | self.marks))
-            self.changed = re.compile(rf"[^{m[1:]}?{m}*?{u}+{m}*")
-        if self.mapped or self.marks:
-            m = f"[{''.join(map(re.escape, sorted(self.mapped | self.marks)))}]"
-            self.moving = re.compile(rf"[^{m[1:]}?{m}+")
+        mapped = {c for c in new if _whole(c) != c}
+        marks = {c for c in new if c not in mapped and (U.combining(c) or c in _MAYBE)}
+        if not mapped and not marks:
+            return
+        self.mapped |= mapped
+        self.marks |= marks
+        u, m = ("".join(map(re.escape, sorted(x))) for x in (self.mapped, self.mapped | self.marks))
+        if u:
+            self.changed = re.compile(rf"[^{m}]?[{m}]*?[{u}]+[{m}]*")
+        self.moving = re.compile(rf"[^{m}]?[{m}]+")
 
 
 _CHECKS = _Checks()
