@@ -73,7 +73,7 @@ _MONEY = r"\$\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(thousand|million
 
 
 def _patterns(words: str) -> tuple[str, str]:
-    return rf"(?i)(?:{words})[^.$]{{0,60}}{_MONEY}", rf"(?i){_MONEY}\s+(?:of|in)\s+(?:{words})"
+    return rf"(?i)(?:{words})[^.$]{{0,60}}{_MONEY}", rf"(?i){_MONEY}[^.$]{{0,40}}(?:{words})"
 
 
 def _sql_read(p: str) -> str:

@@ -113,8 +113,12 @@ def verified(metrics: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return one.select("id", reason.isin("not extracted", "value without quote", "value without anchor", "value in paragraph").alias("passed"), reason.alias("reason"), at.cast("int").alias("found_paragraph"))
 
 
-_VERIFIED = f"""{SQL_CANDIDATES},
-    m AS (SELECT structured_fact_id AS id, chunk_id, CASE WHEN field_name LIKE '%\\_pct' ESCAPE '\\' THEN NULL ELSE fact_value END AS value, source_quote AS quote, CASE WHEN chunk_index >= 0 THEN chunk_index + 1 END AS cited FROM structured_facts WHERE chunk_id IS NOT NULL),
+_FACT_METRICS = """SELECT structured_fact_id AS id, chunk_id, CASE WHEN field_name LIKE '%\\_pct' ESCAPE '\\' THEN NULL ELSE fact_value END AS value, source_quote AS quote, CASE WHEN chunk_index >= 0 THEN chunk_index + 1 END AS cited FROM structured_facts WHERE chunk_id IS NOT NULL"""
+
+
+def _sql_verified(metrics: str) -> str:
+    return f"""{SQL_CANDIDATES},
+    m AS ({metrics}),
     h AS (SELECT DISTINCT id, paragraph FROM m JOIN candidates c USING (chunk_id) WHERE {sql_close('c.value', 'm.value')}),
     j AS (SELECT m.*, p.paragraph, coalesce(quote <> '' AND contains({T.sql_normal('p.text')}, {T.sql_normal('quote')}), false) AS has, h.paragraph IS NOT NULL AS hit, coalesce(p.paragraph = cited, false) AS here
         FROM m LEFT JOIN paragraphs p USING (chunk_id) LEFT JOIN h ON h.id = m.id AND h.paragraph = p.paragraph),
@@ -126,6 +130,9 @@ _VERIFIED = f"""{SQL_CANDIDATES},
     verified AS (SELECT id, reason IN ('not extracted', 'value without quote', 'value without anchor', 'value in paragraph') AS passed, reason, CAST(CASE WHEN reason = 'value without quote' THEN CASE WHEN hit_cited THEN cited ELSE hit_first END WHEN reason IN ('value in paragraph', 'value not in paragraph') THEN found END AS INTEGER) AS found_paragraph FROM r)"""
 
 
+_VERIFIED = _sql_verified(_FACT_METRICS)
+
+
 def fact_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts as metrics: percentages have no figure to look for; the chunk's index is the citation, where it is known."""
     f = table(spark, sf_dir, "structured_facts").where("chunk_id is not null")
@@ -141,6 +148,27 @@ def quote_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_verdicts(spark, sf_dir)
 
 
+_CASE = "(chunk_id + paragraph + pos) % 8"
+_OWN_METRICS = f"""SELECT chunk_id * 1000000 + paragraph * 1000 + pos AS id, chunk_id, CASE WHEN {_CASE} IN (6, 7) THEN value * 1.5::DOUBLE + 7 ELSE value END AS value,
+        CASE WHEN {_CASE} IN (3, 4) THEN 'this was never said' WHEN {_CASE} IN (5, 7) THEN NULL ELSE text[1:40] END AS quote, CAST(CASE {_CASE} WHEN 0 THEN paragraph WHEN 1 THEN 1 WHEN 3 THEN paragraph WHEN 6 THEN paragraph END AS INTEGER) AS cited FROM candidates JOIN paragraphs USING (chunk_id, paragraph)"""
+
+
+def own_metrics(paragraphs: DataFrame) -> DataFrame:
+    """Metrics made of the figures of all chunks, so that every way of citing comes up: right and wrong paragraphs, quotes and values, and none."""
+    c = candidates(paragraphs).join(paragraphs, ["chunk_id", "paragraph"])
+    k = (F.col("chunk_id") + F.col("paragraph") + F.col("pos")) % 8
+    value = F.when(k.isin(6, 7), F.col("value") * 1.5 + 7).otherwise(F.col("value"))
+    quote = F.when(k.isin(3, 4), "this was never said").when(k.isin(5, 7), F.lit(None)).otherwise(F.substring("text", 1, 40))
+    cited = F.when(k.isin(0, 3, 6), F.col("paragraph")).when(k == 1, 1)
+    return c.select((F.col("chunk_id") * 1000000 + F.col("paragraph") * 1000 + F.col("pos")).alias("id"), "chunk_id", value.alias("value"), quote.alias("quote"), cited.alias("cited"))
+
+
+@query("V1 J7 J8 E6", f"WITH {_sql_verified(_OWN_METRICS)} SELECT * FROM verified")
+def figure_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = chunk_paragraphs(spark, sf_dir)
+    return verified(own_metrics(p), p)
+
+
 @query("V2 A21 V3 V22", f"""WITH {_VERIFIED}
     SELECT s.chunk_id, bool_and(passed) AS all_passed, count(*) FILTER (NOT passed) AS failed_count, count(*) AS metrics, coalesce(string_agg(lower(trim(field_name)) || ': ' || reason, '; ' ORDER BY id) FILTER (NOT passed), '') AS dispute
     FROM verified v JOIN structured_facts s ON s.structured_fact_id = v.id GROUP BY s.chunk_id""")
