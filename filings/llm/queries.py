@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from filings.llm import abuse, leaks, lines, looks, sentences, split, tokens
 
-QUERIES = {f.__name__: f for f in (lines.p1_found, lines.p1_sections, lines.p1_clusters, looks.p2_found, looks.p2_classes, looks.p2_sections, sentences.p3_found, sentences.p3_sentences, split.p5_found, split.p5_pieces, tokens.p6_tokens, tokens.p6_totals, tokens.p8_ids, leaks.p9_found, abuse.p10_found, abuse.p10_scores, abuse.p10_rates)}
+QUERIES = {f.__name__: f for f in (lines.p1_found, lines.p1_sections, lines.p1_clusters, looks.p2_found, looks.p2_classes, looks.p2_sections, sentences.p3_found, sentences.p3_sentences, split.p5_found, split.p5_pieces, tokens.p6_tokens, tokens.p6_totals, tokens.p6_slices, tokens.p8_ids, leaks.p9_found, abuse.p10_found, abuse.p10_scores, abuse.p10_rates)}
 
 SQL = {
     "p5_found": """

@@ -42,6 +42,11 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("x.slice_by", "x.slice").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
 
 
+def p6_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each combination of ticker, lang and section_name that there is."""
+    return p6_tokens(spark, sf_dir).groupBy("ticker", "lang", "section_name").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+
+
 _IDS = pa.list_(pa.int32())
 
 

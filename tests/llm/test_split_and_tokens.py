@@ -61,7 +61,9 @@ def test_counts_and_totals(spark, tables, theirs):
     got = {r["item_id"]: r["tokens"] for r in tokens.p6_tokens(spark, tables).where("table_name = 'chunks'").collect()}
     assert got == {r["chunk_id"]: len(theirs.encode_ordinary(r["content"])) for r in d}
     t = tokens.p6_totals(spark, tables).where("slice_by = 'lang'").collect()
-    assert sum(r["items"] for r in t) == tokens.p6_tokens(spark, tables).count()
+    s = tokens.p6_slices(spark, tables).collect()
+    assert sum(r["items"] for r in t) == sum(r["items"] for r in s) == tokens.p6_tokens(spark, tables).count()
+    assert sum(r["tokens"] for r in t) == sum(r["tokens"] for r in s) and any(r["lang"] is None for r in s)
 
 
 @pytest.mark.parametrize("s", ["word " * 3000, "x" * 7001, "Sales rose a bit. " * 500, "Some words.\n\n" * 400, "営業利益率は低い。" * 900, "short", "", "y" * 3000 + " z" * 1500, "é" * 5000, "a" * 1999 + " b" * 2, "\n" * 6000])
