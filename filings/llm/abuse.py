@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -141,7 +142,7 @@ def _bucket(term: str) -> int:
 
 
 def instances(text: str | None) -> list[list[int]]:
-    """The buckets of the terms of each sentence of a text; a null or blank text has none."""
+    """The buckets of the classes and words of each sentence of a text, in their order; a null or blank text has none."""
     if not text or not (s := plain(text)):
         return []
     held = [*_held().iter(s)]
@@ -157,8 +158,7 @@ def instances(text: str | None) -> list[list[int]]:
                 w = [x[k : k + 3] for x in w for k in range(0, max(1, len(x) - 2))] if any(map(_SCRIPTS.match, w)) else w
             if not _YOU.isdisjoint(w):
                 own.append(_CLASSES["you"])
-            ids = [*map(_bucket, w)]
-            out.append([*own, *ids, *((8 + (31 * a + 17 * b) % (_MASK - 7)) for a, b in zip(ids, ids[1:]))])
+            out.append([*own, *map(_bucket, w)])
         began = end
     return out
 
@@ -178,8 +178,18 @@ class Machine:
 
     @staticmethod
     def flat(sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all sentences in a row, each followed by those of its pairs of neighbouring words, and where each begins."""
         size = np.fromiter(map(len, sets), np.int64, len(sets))
-        return np.fromiter((x for s in sets for x in s), np.int64, int(size.sum())), np.r_[0, np.cumsum(size)[:-1]]
+        ids = np.fromiter(chain.from_iterable(sets), np.int64, int(size.sum()))
+        starts = np.cumsum(size) - size
+        begin = 2 * starts - np.arange(len(sets))
+        at = np.arange(len(ids)) - np.repeat(starts, size)
+        out = np.empty(max(0, 2 * len(ids) - len(sets)), np.int64)
+        out[np.repeat(begin, size) + at] = ids
+        left = np.flatnonzero(at < np.repeat(size, size) - 1)
+        a, b = ids[left], ids[left + 1]
+        out[np.repeat(begin + size, size)[left] + at[left]] = np.where(a < 8, 0, 8 + (31 * a + 17 * b) % (_MASK - 7))
+        return out, begin
 
     def logits(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(starts):
@@ -190,15 +200,17 @@ class Machine:
 
     def fit(self, bags: list[list[list[int]]], y: np.ndarray) -> None:
         """bags: each document's sentences. y: the share of its ratings that are positive. In each round a document stands for its worst sentence."""
-        df = np.bincount(np.fromiter((i for b in bags for i in {x for s in b for x in s}), np.int64), minlength=1 << BITS)
-        known = df >= SEEN
-        known[: 1 + len(_CLASSES)] = True
-        bags = [[[i for i in s if known[i]] or [0] for s in b] or [[0]] for b in bags]
+        bags = [b or [[0]] for b in bags]
+        ids, starts = self.flat([s for b in bags for s in b])
+        size = np.diff(np.r_[starts, len(ids)])
+        count = np.fromiter(map(len, bags), np.int64, len(bags))
+        first = np.cumsum(count) - count
+        # Bucket 0 is no term; it and unknown terms keep weights of 0.
+        doc = np.repeat(np.repeat(np.arange(len(bags)), count), size)
+        known = np.bincount(np.unique((doc << BITS) | ids) & _MASK, minlength=1 << BITS) >= SEEN
+        known[:8] = [0 < k <= len(_CLASSES) for k in range(8)]
         self.weight[~known] = 0
         self.factors[~known] = 0
-        sets = [s for b in bags for s in b]
-        ids, starts = self.flat(sets)
-        first = np.r_[0, np.cumsum([len(b) for b in bags])[:-1]]
         self.bias[0] = -4.0
         mean = np.zeros_like(self.weight)
         mean[1:4] = LISTED
@@ -212,13 +224,15 @@ class Machine:
                 at = np.flatnonzero(z == np.repeat(best, np.diff(np.r_[first, len(z)])))
                 of = np.searchsorted(first, at, "right") - 1
                 at = at[np.r_[True, of[1:] != of[:-1]]]
-                own, begin = self.flat([sets[k] for k in at.tolist()])
-                row = np.repeat(np.arange(len(at)), np.diff(np.r_[begin, len(own)]))
+                n = size[at]
+                begin = np.cumsum(n) - n
+                row = np.repeat(np.arange(len(at)), n)
+                own = ids[np.arange(len(row)) + (starts[at] - begin)[row]]
             g = (_logistic(self.logits(own, begin)) - y).astype(np.float32)
             v = self.factors[own]
             total = np.add.reduceat(v, begin)
             slope = np.stack([np.bincount(own, g[row] * (total[row, k] - v[:, k]), 1 << BITS) for k in range(FACTORS)], axis=1)
-            grads = [np.array([g.sum() + 0.5 * (self.bias[0] + 4)]), np.bincount(own, g[row], 1 << BITS) + PRIOR * (self.weight - mean) * known, slope + PRIOR_FACTORS * self.factors * known[:, None]]
+            grads = [np.array([g.sum() + 0.5 * (self.bias[0] + 4)]), (np.bincount(own, g[row], 1 << BITS) + PRIOR * (self.weight - mean)) * known, (slope + PRIOR_FACTORS * self.factors) * known[:, None]]
             for k, (p, d) in enumerate(zip(params, grads)):
                 m1[k] = 0.9 * m1[k] + 0.1 * d
                 m2[k] = 0.99 * m2[k] + 0.01 * d * d
