@@ -10,6 +10,7 @@ opening words end a unit, connecting words hold it together.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ _MARK = re.compile(r"[.!?…。｡।॥]+|[“”„«»「」『』\"()\[\]]|(
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]"}
 _CLOSERS = "”“»」』)]\"’'"
 _TERMINAL = ".!?…。｡।॥"
+_OPEN_OR_CLOSE = re.compile(r"[“”„«»「」『』\"()\[\]]")
 _OPENERS = re.compile(r"[“”„«「『\"(\[]")
 _LAST = re.compile(r"\S+$")
 #: Never the end of a sentence when words go on.
@@ -114,20 +116,22 @@ def _ends(p: str, began: int, at: int, end: int) -> bool:
 def _spans(p: str) -> list[tuple[int, int]]:
     """Quotations and texts in brackets that are closed, outermost only."""
     stack: list[tuple[str, int]] = []
+    awaited: Counter[str] = Counter()  # what would close something that is open
     out: list[tuple[int, int]] = []
-    for m in re.finditer(r"[“”„«»「」『』\"()\[\]]", p):
+    for m in _OPEN_OR_CLOSE.finditer(p):
         c, k = m[0], m.start()
-        closes = next((n for n in range(len(stack) - 1, -1, -1) if c in (stack[n][0])), None)
+        closes = next((n for n in range(len(stack) - 1, -1, -1) if c in stack[n][0]), None) if awaited[c] else None
         if closes is not None and not (c == "“" and stack[closes][0] != "“”"):
             a = stack[closes][1]
+            for own, _ in stack[closes:]:
+                awaited.subtract(own)
             del stack[closes:]
             while out and out[-1][0] > a:
                 out.pop()
             out.append((a, k + 1))
-        elif c == '"':
-            stack.append(('"', k))
-        elif c in _OPEN:
-            stack.append((_OPEN[c], k))
+        elif c == '"' or c in _OPEN:
+            stack.append((_OPEN.get(c, c), k))
+            awaited.update(_OPEN.get(c, c))
     return out
 
 
