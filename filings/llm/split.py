@@ -15,6 +15,7 @@ from filings.llm.sentences import ends
 from filings.run import rows, table
 
 LIMIT, OVERLAP = 2000, 200
+MARKS = 32
 I64, STR = pa.int64(), pa.string()
 _PARAGRAPH = re.compile(r"\n\s*\n\s*")
 _BLANK = re.compile(r"\s+")
@@ -35,7 +36,7 @@ def _boundaries(s: str) -> list[list[int]]:
 
 
 def pieces(s: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """The pieces of s as positions. Shorter texts are one piece; without any boundary a text is cut at its middle, but never before a combining mark."""
+    """The pieces of s as positions. Shorter texts are one piece; without any boundary a text is cut at its middle, not before a combining mark unless MARKS of them follow one another."""
     if len(s) <= limit:
         return [(0, len(s))]
     kinds, core, todo = _boundaries(s), [], [(0, len(s))]
@@ -47,9 +48,7 @@ def pieces(s: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         mid, quarter = (a + b) // 2, (b - a) // 4
         cut = next((x for at in kinds if (x := _nearest(at, mid - quarter, mid + quarter, mid)) is not None), None) or next((x for at in kinds if (x := _nearest(at, a + 1, b - 1, mid)) is not None), None)
         if cut is None:
-            cut = mid
-            while cut > a + 1 and unicodedata.combining(s[cut]):
-                cut -= 1
+            cut = next((x for x in range(mid, max(a, mid - MARKS), -1) if not unicodedata.combining(s[x])), mid)
         todo += [(cut, b), (a, cut)]
     out = core[:1]
     for a, b in core[1:]:
