@@ -82,9 +82,9 @@ class _Checks:
             return
         self.mapped |= mapped
         self.marks |= marks
-        u, m = ("".join(map(re.escape, sorted(x))) for x in (self.mapped, self.mapped | self.marks))
-        if u:
-            self.changed = re.compile(rf"[^{m}]?[{m}]*?[{u}]+[{m}]*")
+        u, k, m = ("".join(map(re.escape, sorted(x))) for x in (self.mapped, self.marks, self.mapped | self.marks))
+        if u:  # a run of marks is entered at its beginning only, so that long ones are passed over once
+            self.changed = re.compile(rf"(?:[^{m}]|(?<![{k}]))[{k}]*+[{u}][{m}]*+" if k else rf"[^{m}]?[{u}]+")
         self.moving = re.compile(rf"[^{m}]?[{m}]+")
 
 
