@@ -255,7 +255,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, y) of the rated documents: y is the share of positive ratings; ratings without a label count for nothing."""
     own = table(spark, sf_dir, "toxicity_labels").where("tox_label is not null and doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("tox_label") != "none").cast("double")).alias("y"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").join(some, "doc_id")
+    # At most LABELLED pairs of numbers are sent, so that the texts needn't be shuffled to meet them.
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
 def fitted(rows_: Iterable[tuple[str, float]]) -> Machine:
