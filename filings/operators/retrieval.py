@@ -78,10 +78,17 @@ def best(df: DataFrame, w, k: int) -> DataFrame:
 # --- sparse ----------------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(part, id, term, tf, length) of docs (part, id, content)."""
-    t = docs.select("part", "id", T.words(F.lower(F.col("content"))).alias("w"))
-    return t.select("part", "id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("part", "id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def bags(docs: DataFrame, by: tuple = ()) -> DataFrame:
+    """(*by, id, w, length): the words of each document of docs (*by, id, content). Rows that share an id are one document; as putting them together shuffles all words, it is looked up first whether there are any."""
+    t = docs.select(*by, "id", T.words(F.lower(F.col("content"))).alias("w"))
+    if docs.groupBy(*by, "id").count().where("count > 1").isEmpty():
+        return t.withColumn("length", F.size("w"))
+    return t.groupBy(*by, "id").agg(F.flatten(F.collect_list("w")).alias("w"), F.first(F.when(F.size("w") > 0, F.size("w")), True).alias("length"))
+
+
+def each(c):
+    """As rows (term), a null for none: before a plain explode Spark puts a filter that splits every text once more."""
+    return F.explode_outer(c).alias("term")
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -89,31 +96,61 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.words(F.lower(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, part, id, score, rank): the k best of each query and part, with the statistics of the part; of those only scores above 0."""
-    p, q = postings(docs), asked(queries)
-    totals = docs.select("part", F.size(T.words(F.col("content"))).alias("n")).groupBy("part").agg(F.count("*").alias("docs"), F.avg("n").alias("mean_length"))
-    df = p.groupBy("part", "term").agg(F.count("*").alias("df")).join(totals, "part").withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.groupBy("part").agg(F.avg("idf").alias("mean_idf"))
-    terms = df.join(q.select("term").distinct(), "term", "left_semi").join(mean, "part")
-    weight = F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf"))
-    # Only the terms that are asked for are kept of the postings before anything is summed.
-    hit = p.join(terms.select("part", "term", weight.alias("weight"), "mean_length"), ["part", "term"]).join(q, "term")
-    gain = F.col("times") * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    s = hit.groupBy("query_id", "part", "id").agg(F.round(F.sum(gain), 6).alias("score"))
-    w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
+def weights(docs: DataFrame, b: DataFrame, by: tuple = ()) -> DataFrame:
+    """(*by, term, weight, mean_length) of all terms of bags b, with the statistics of each part. What holds for a part is one row of it, sent to all tasks: no term is shuffled for it."""
+    beside = lambda x, y: x.join(F.broadcast(y), [*by]) if by else x.crossJoin(F.broadcast(y))
+    totals = docs.groupBy(*by).agg(F.count("*").alias("docs"), F.avg(F.size(T.words(F.col("content")))).alias("mean_length"))
+    df = b.select(*by, each(F.array_distinct("w"))).where("term is not null").groupBy(*by, "term").agg(F.count("*").alias("df"))
+    df = beside(df, totals).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = df.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
+    return beside(df, mean).select(*by, "term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("weight"), "mean_length")
+
+
+def hits(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, *by, id, term, times, tf, norm) for each term that a query and a document share, and with terms (see weights) length, weight and mean_length.
+
+    Only words that are asked for leave their task, and they are partitioned by document: all hits of a query and a document
+    meet where they are made, so that of the many pairs only the best of a partition are shuffled. norm: the root of the sum of all tf squared.
+    """
+    run = F.aggregate(F.sort_array("w"), F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["n"] + 1).otherwise(1).alias("n"), (a["sum"] + F.when(x == a["last"], 2 * a["n"] + 1).otherwise(1)).alias("sum")))
+    one = b.select(*by, "id", "length", "w", F.sqrt(run["sum"]).alias("norm")).select(*by, "id", "length", "norm", each("w"))  # the norm in a step of its own: else it is made again for each word
+    words, first = q.select("term").distinct(), lambda *cs: [F.first(c).alias(c) for c in cs]
+    if terms is None:
+        p = one.join(words, "term", "left_semi").repartition(*by, "id").groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), *first("norm"))
+    elif by:
+        p = one.join(words, "term", "left_semi").repartition(*by, "term").groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), *first("length", "norm"))
+        p = p.join(terms.join(words, "term", "left_semi"), [*by, "term"]).repartition(*by, "id")
+    else:  # no more weights than words asked for
+        p = one.join(F.broadcast(terms.join(words, "term", "left_semi")), "term").repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), *first("length", "norm", "weight", "mean_length"))
+    return p.join(q, "term")
+
+
+def gain():
+    return F.sum(F.col("times") * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))))
+
+
+def dot() -> list:
+    return [F.sum(F.col("tf") * F.col("times")).alias("dot"), F.first("norm").alias("norm")]
+
+
+def cosine():
+    return F.round(F.col("dot") / (F.col("norm") * F.col("qnorm") + 1e-8), 6)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, by: tuple = ()) -> DataFrame:
+    """(query_id, *by, id, score, rank): the k best of each query and part, with the statistics of the part; of those only scores above 0."""
+    b, q = bags(docs, by), asked(queries)
+    s = hits(b, q, by, weights(docs, b, by)).groupBy("query_id", *by, "id").agg(F.round(gain(), 6).alias("score"))
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
     return best(s, w, k).where("score > 0")
 
 
 def words_cosine(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, part, id, score, rank) by the cosine of word counts: the offline stand-in for sentence vectors."""
-    p, q = postings(docs), asked(queries)
-    norm = p.groupBy("part", "id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    """(query_id, id, score, rank) by the cosine of word counts: the offline stand-in for sentence vectors."""
+    q = asked(queries)
     qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("times") * F.col("times"))).alias("qnorm"))
-    dot = p.join(q, "term").groupBy("query_id", "part", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("dot"))
-    s = dot.join(norm, ["part", "id"]).join(qnorm, "query_id").select("query_id", "part", "id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm") + 1e-8), 6).alias("score"))
-    w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
-    return best(s, w, k)
+    s = hits(bags(docs), q).groupBy("query_id", "id").agg(*dot()).where("id is not null").join(qnorm, "query_id").select("query_id", "id", cosine().alias("score"))
+    return best(s, Window.partitionBy("query_id").orderBy(F.desc("score"), "id"), k)
 
 
 def _sql(part: str = "''") -> str:
@@ -139,8 +176,8 @@ def _hybrid_sql(pool: int) -> str:
     hybrid AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, af ASC NULLS LAST, bf ASC NULLS LAST, id) - 1 AS rank FROM fused) WHERE rank < {pool})"""
 
 
-def _docs(spark: SparkSession, sf_dir: str, part=None) -> DataFrame:
-    return table(spark, sf_dir, "chunks").where("content is not null").select((F.lit("") if part is None else part).alias("part"), F.col("chunk_id").alias("id"), "content")
+def _docs(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    return table(spark, sf_dir, "chunks").where("content is not null").select(*more, F.col("chunk_id").alias("id"), "content")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,14 +197,22 @@ def words_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_cosine(_docs(spark, sf_dir), _items(spark, sf_dir), TOP).select(*_OUT)
 
 
-def fuse(near: DataFrame, sparse: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Weighted reciprocal ranks over the keys of both sides. A key's duplicates: the last has the say on the score, the first on the order of ties; the dense side's last or else the sparse side's first is shown."""
+def tops(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(kind, query_id, id, score, rank): what words_cosine (kind dense) and bm25 (kind sparse) find, both from one reading of the texts."""
+    b, q = bags(docs), asked(queries)
+    pairs = hits(b, q, (), weights(docs, b)).groupBy("query_id", "id").agg(F.round(gain(), 6).alias("sparse"), *dot())
+    qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("times") * F.col("times"))).alias("qnorm"))
+    dense_ = F.when(F.col("id").isNotNull(), cosine())
+    side = lambda kind, score: F.struct(F.lit(kind).alias("kind"), score.alias("score"))
+    s = pairs.join(qnorm, "query_id", "left").select("query_id", "id", F.explode(F.array(side("dense", dense_), side("sparse", F.col("sparse")))).alias("x")).select("query_id", "id", "x.*").where("kind = 'sparse' or score is not null")
+    return best(s, Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "id"), k).where("kind = 'dense' or score > 0")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        x = df.join(docs.select("id", F.substring("content", 1, KEY).alias("key")), "id")
-        return x.groupBy("query_id", "key").agg(F.min("rank").alias(f"{name}_first"), F.max("rank").alias(f"{name}_last"), F.max_by("id", "rank").alias(f"{name}_max"), F.min_by("id", "rank").alias(f"{name}_min"))
 
-    j = side(near, "a").join(side(sparse, "b"), ["query_id", "key"], "full_outer")
+def fuse(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Weighted reciprocal ranks of tops over the keys of both sides. A key's duplicates: the last has the say on the score, the first on the order of ties; the dense side's last or else the sparse side's first is shown."""
+    x = found.join(docs.select("id", F.substring("content", 1, KEY).alias("key")), "id")
+    rank = lambda kind: F.when(F.col("kind") == kind, F.col("rank"))
+    j = x.groupBy("query_id", "key").agg(F.min(rank("dense")).alias("a_first"), F.max(rank("dense")).alias("a_last"), F.max_by("id", rank("dense")).alias("a_max"), F.min(rank("sparse")).alias("b_first"), F.max(rank("sparse")).alias("b_last"), F.min_by("id", rank("sparse")).alias("b_min"))
     part = lambda w, c: F.coalesce(F.lit(w) / (F.lit(RRF) + F.col(c)), F.lit(0.0))
     j = j.select("query_id", F.coalesce("a_max", "b_min").alias("id"), F.round(part(DENSE, "a_last") + part(SPARSE, "b_last"), 9).alias("score"), "a_first", "b_first")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("a_first"), F.asc_nulls_last("b_first"), "id")
@@ -175,8 +220,8 @@ def fuse(near: DataFrame, sparse: DataFrame, docs: DataFrame, k: int) -> DataFra
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs, q = _docs(spark, sf_dir), _items(spark, sf_dir)
-    return fuse(words_cosine(docs, q, 2 * k), bm25(docs, q, 2 * k), docs, k)
+    docs = _docs(spark, sf_dir)
+    return fuse(tops(docs, _items(spark, sf_dir), 2 * k), docs, k)
 
 
 @query("R5 J14", f"WITH {_hybrid_sql(TOP)} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM hybrid")
@@ -198,7 +243,7 @@ def hybrid_rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("R8 A23", f"WITH {_sql(T.TICKER)} SELECT query_id, part AS ticker, id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank < {PER_COMPANY} AND score > 0")
 def multi_company_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each company's best chunks for each question, by the company's own statistics; one plan for all of them."""
-    return bm25(_docs(spark, sf_dir, F.upper(F.trim("ticker"))), _items(spark, sf_dir), PER_COMPANY).select("query_id", F.col("part").alias("ticker"), "id", "score", "rank")
+    return bm25(_docs(spark, sf_dir, F.upper(F.trim("ticker")).alias("ticker")).where("ticker is not null"), _items(spark, sf_dir), PER_COMPANY, ("ticker",)).select("query_id", "ticker", "id", "score", "rank")
 
 
 RETRIEVERS = {"dense": words_topk, "sparse": bm25_topk, "hybrid": hybrid_rrf, "hybrid_reranked": hybrid_rerank_lexical}
@@ -215,9 +260,8 @@ def retriever(strategy: str):
         SELECT 'dense' AS retrieval_strategy, id FROM near WHERE rank < {TOP} UNION ALL SELECT 'sparse', id FROM sparse WHERE rank < {TOP} AND score > 0 UNION ALL SELECT 'hybrid', id FROM hybrid) JOIN c USING (id) GROUP BY 1, 2""")
 def retrieval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many hits each kind of chunk gets with each kind of retrieval."""
-    hits = None
-    for k in ("dense", "sparse", "hybrid"):
-        h = retriever(k)(spark, sf_dir).select(F.lit(k).alias("retrieval_strategy"), "id")
-        hits = h if hits is None else hits.unionAll(h)
+    docs = _docs(spark, sf_dir)
+    found = tops(docs, _items(spark, sf_dir), 2 * TOP)  # the tops of each kind are the first of what the hybrid fuses
+    hits = found.where(F.col("rank") < TOP).select(F.col("kind").alias("retrieval_strategy"), "id").unionAll(fuse(found, docs, TOP).select(F.lit("hybrid"), "id"))
     c = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "chunk_strategy")
     return hits.join(c, "id").groupBy("chunk_strategy", "retrieval_strategy").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("chunks"))
