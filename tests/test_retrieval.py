@@ -9,7 +9,7 @@ import pytest
 
 from filings import catalogue
 
-SCORED = ["bm25_topk", "multi_company_topk"]
+SCORED = ["bm25_topk", "multi_company_topk", "hybrid_rrf"]
 
 
 @pytest.mark.parametrize("name", SCORED)
