@@ -23,8 +23,8 @@ def sql_strip(c: str) -> str:
 
 
 def words(c: Column) -> Column:
-    """White-space words; punctuation stays on them."""
-    return F.filter(F.split(c, f"{WS}+"), lambda x: x != "")
+    """White-space words; punctuation stays on them. All blanks become one first: splitting by a pattern takes twice as long."""
+    return F.array_remove(F.split(F.translate(c, _BLANKS, " " * len(_BLANKS)), " "), "")
 
 
 def sql_words(c: str) -> str:

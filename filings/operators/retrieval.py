@@ -15,6 +15,7 @@ K1, B, FLOOR = 1.5, 0.75, 0.25  # Okapi's usual constants; a negative idf become
 RRF, DENSE, SPARSE, KEY = 60, 0.6, 0.4, 100
 TOP, POOL, PER_COMPANY = 10, 20, 5
 BLOCK = 2048
+SOME = 64
 
 
 # --- dense -----------------------------------------------------------------------------------------------------------
@@ -79,11 +80,11 @@ def best(df: DataFrame, w, k: int) -> DataFrame:
 
 
 def bags(docs: DataFrame, by: tuple = ()) -> DataFrame:
-    """(*by, id, w, length): the words of each document of docs (*by, id, content). Rows that share an id are one document; as putting them together shuffles all words, it is looked up first whether there are any."""
+    """(*by, id, w, length, rows, words): the words of each document of docs (*by, id, content), of how many rows and words it is. Rows that share an id are one document; as putting them together shuffles all words, it is looked up first whether there are any."""
     t = docs.select(*by, "id", T.words(F.lower(F.col("content"))).alias("w"))
     if docs.groupBy(*by, "id").count().where("count > 1").isEmpty():
-        return t.withColumn("length", F.size("w"))
-    return t.groupBy(*by, "id").agg(F.flatten(F.collect_list("w")).alias("w"), F.first(F.when(F.size("w") > 0, F.size("w")), True).alias("length"))
+        return t.withColumns({"length": F.size("w"), "rows": F.lit(1), "words": F.size("w")})
+    return t.groupBy(*by, "id").agg(F.flatten(F.collect_list("w")).alias("w"), F.first(F.when(F.size("w") > 0, F.size("w")), True).alias("length"), F.count("*").alias("rows"), F.sum(F.size("w")).alias("words"))
 
 
 def each(c):
@@ -96,18 +97,21 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.words(F.lower(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def weights(docs: DataFrame, b: DataFrame, by: tuple = ()) -> DataFrame:
+def weights(b: DataFrame, by: tuple = ()) -> DataFrame:
     """(*by, term, weight, mean_length) of all terms of bags b, with the statistics of each part. What holds for a part is one row of it, sent to all tasks: no term is shuffled for it."""
     beside = lambda x, y: x.join(F.broadcast(y), [*by]) if by else x.crossJoin(F.broadcast(y))
-    totals = docs.groupBy(*by).agg(F.count("*").alias("docs"), F.avg(F.size(T.words(F.col("content")))).alias("mean_length"))
-    df = b.select(*by, each(F.array_distinct("w"))).where("term is not null").groupBy(*by, "term").agg(F.count("*").alias("df"))
+    own = lambda c: F.sum(F.when(F.col("term").isNull(), F.col(c))).alias(c)
+    # Each document has a null beside its words, whose group has the part's totals. Both sides name all sums, so that they share one reading of the texts.
+    t = b.select(*by, "rows", "words", each(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string"))))).groupBy(*by, "term").agg(F.count("*").alias("df"), own("rows"), own("words"))
+    totals = t.where("rows is not null and words is not null and df > 0").select(*by, F.col("rows").alias("docs"), (F.col("words") / F.col("rows")).alias("mean_length"))
+    df = t.where("rows is null and words is null and df > 0").select(*by, F.coalesce("term", F.lit("")).alias("term"), "df")  # else a join by term sends a filter of its own to the texts
     df = beside(df, totals).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
     return beside(df, mean).select(*by, "term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("weight"), "mean_length")
 
 
 def hits(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = None) -> DataFrame:
-    """(query_id, *by, id, term, times, tf, norm) for each term that a query and a document share, and with terms (see weights) length, weight and mean_length.
+    """(query_id, *by, id, term, times, tf, norm) for each term that a query and a document share, and with terms (see weights) its gain for each time that it is asked for.
 
     Only words that are asked for leave their task, and they are partitioned by document: all hits of a query and a document
     meet where they are made, so that of the many pairs only the best of a partition are shuffled. norm: the root of the sum of all tf squared.
@@ -121,12 +125,16 @@ def hits(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = N
         p = one.join(words, "term", "left_semi").repartition(*by, "term").groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), *first("length", "norm"))
         p = p.join(terms.join(words, "term", "left_semi"), [*by, "term"]).repartition(*by, "id")
     else:  # no more weights than words asked for
-        p = one.join(F.broadcast(terms.join(words, "term", "left_semi")), "term").repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), *first("length", "norm", "weight", "mean_length"))
+        p = one.join(F.broadcast(words), "term", "left_semi").repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), *first("length", "norm"))
+        p = p.join(F.broadcast(terms.join(words, "term", "left_semi")), "term")
+    if terms is not None:
+        gain_ = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+        p = p.select(*by, "id", "term", "tf", "norm", gain_.alias("gain"))
     return p.join(q, "term")
 
 
 def gain():
-    return F.sum(F.col("times") * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))))
+    return F.round(F.sum(F.col("times") * F.col("gain")), 6)
 
 
 def dot() -> list:
@@ -140,9 +148,28 @@ def cosine():
 def bm25(docs: DataFrame, queries: DataFrame, k: int, by: tuple = ()) -> DataFrame:
     """(query_id, *by, id, score, rank): the k best of each query and part, with the statistics of the part; of those only scores above 0."""
     b, q = bags(docs, by), asked(queries)
-    s = hits(b, q, by, weights(docs, b, by)).groupBy("query_id", *by, "id").agg(F.round(gain(), 6).alias("score"))
+    terms = weights(b, by)
+    scores = lambda b: hits(b, q, by, terms).groupBy("query_id", *by, "id").agg(gain().alias("score"))
+    s = scores(b)
+    if not by:  # floors by part would be as many as queries and parts
+        s = s.join(F.broadcast(floors(scores(some(b)), k)), "query_id", "left").where(reaches("score", "floor"))
     w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
-    return best(s, w, k).where("score > 0")
+    return best(s, w, k).where("score > 0").drop("floor")
+
+
+def some(b: DataFrame) -> DataFrame:
+    """One document in SOME of b. Its best set the floors only: what they leave out can't be among the best of all."""
+    return b.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0)
+
+
+def floors(s: DataFrame, k: int, kind: tuple = ()) -> DataFrame:
+    """(query_id, *kind, floor) of scores s of some documents: a little less than the kth score, as sums differ in their last digits with the order of their rows. Of all documents k at least score so much, so that pairs below needn't be sorted; queries with fewer have no floor."""
+    w = Window.partitionBy("query_id", *kind).orderBy(F.desc("score"), "id")
+    return best(s, w, k).where(F.col("rank") == k - 1).select("query_id", *kind, (F.col("score") - 2e-6).alias("floor"))
+
+
+def reaches(score: str, floor: str):
+    return F.col(floor).isNull() | (F.col(score) >= F.col(floor))
 
 
 def words_cosine(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -200,11 +227,20 @@ def words_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tops(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(kind, query_id, id, score, rank): what words_cosine (kind dense) and bm25 (kind sparse) find, both from one reading of the texts."""
     b, q = bags(docs), asked(queries)
-    pairs = hits(b, q, (), weights(docs, b)).groupBy("query_id", "id").agg(F.round(gain(), 6).alias("sparse"), *dot())
+    terms = weights(b)
     qnorm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("times") * F.col("times"))).alias("qnorm"))
-    dense_ = F.when(F.col("id").isNotNull(), cosine())
-    side = lambda kind, score: F.struct(F.lit(kind).alias("kind"), score.alias("score"))
-    s = pairs.join(qnorm, "query_id", "left").select("query_id", "id", F.explode(F.array(side("dense", dense_), side("sparse", F.col("sparse")))).alias("x")).select("query_id", "id", "x.*").where("kind = 'sparse' or score is not null")
+    side = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("score"))
+
+    def pairs(b: DataFrame) -> DataFrame:
+        p = hits(b, q, (), terms).groupBy("query_id", "id").agg(gain().alias("sparse"), *dot())
+        return p.join(qnorm, "query_id", "left").select("query_id", "id", "sparse", F.when(F.col("id").isNotNull(), cosine()).alias("dense"))
+
+    def sides(p: DataFrame) -> DataFrame:
+        return p.select("query_id", "id", F.explode(F.array(side("dense"), side("sparse"))).alias("x")).select("query_id", "id", "x.*").where("kind = 'sparse' or score is not null")
+
+    floor = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("floor"))).alias(f"{kind}_floor")
+    f = floors(sides(pairs(some(b))), k, ("kind",)).groupBy("query_id").agg(floor("dense"), floor("sparse"))
+    s = sides(pairs(b).join(F.broadcast(f), "query_id", "left").where(reaches("dense", "dense_floor") | reaches("sparse", "sparse_floor")))
     return best(s, Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "id"), k).where("kind = 'dense' or score > 0")
 
 
