@@ -246,7 +246,7 @@ def tops(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def fuse(found: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Weighted reciprocal ranks of tops over the keys of both sides. A key's duplicates: the last has the say on the score, the first on the order of ties; the dense side's last or else the sparse side's first is shown."""
-    x = found.join(docs.select("id", F.substring("content", 1, KEY).alias("key")), "id")
+    x = docs.select("id", F.substring("content", 1, KEY).alias("key")).join(F.broadcast(found), "id")
     rank = lambda kind: F.when(F.col("kind") == kind, F.col("rank"))
     j = x.groupBy("query_id", "key").agg(F.min(rank("dense")).alias("a_first"), F.max(rank("dense")).alias("a_last"), F.max_by("id", rank("dense")).alias("a_max"), F.min(rank("sparse")).alias("b_first"), F.max(rank("sparse")).alias("b_last"), F.min_by("id", rank("sparse")).alias("b_min"))
     part = lambda w, c: F.coalesce(F.lit(w) / (F.lit(RRF) + F.col(c)), F.lit(0.0))
@@ -300,4 +300,4 @@ def retrieval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tops(docs, _items(spark, sf_dir), 2 * TOP)  # the tops of each kind are the first of what the hybrid fuses
     hits = found.where(F.col("rank") < TOP).select(F.col("kind").alias("retrieval_strategy"), "id").unionAll(fuse(found, docs, TOP).select(F.lit("hybrid"), "id"))
     c = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "chunk_strategy")
-    return hits.join(c, "id").groupBy("chunk_strategy", "retrieval_strategy").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("chunks"))
+    return c.join(F.broadcast(hits), "id").groupBy("chunk_strategy", "retrieval_strategy").agg(F.count("*").alias("hits"), F.countDistinct("id").alias("chunks"))
