@@ -41,7 +41,8 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, round(CASE WHEN len(ref) = 0 THEN 0 ELSE coalesce(len(list_intersect(ref, ans)), 0) / len(ref) END, 3) AS word_overlap FROM a""")
 def gold_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of an item's words that its best chunk has."""
-    best = R.bm25_topk(spark, sf_dir).where("rank = 0").join(table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), T.words(F.lower(F.col("content"))).alias("ans")), "id").select(F.col("query_id").alias("item_id"), "ans")
+    c = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "content")
+    best = c.join(F.broadcast(R.bm25_topk(spark, sf_dir).where("rank = 0")), "id").select(F.col("query_id").alias("item_id"), T.words(F.lower(F.col("content"))).alias("ans"))  # a row for each item is sent to the texts
     e = table(spark, sf_dir, "eval_items").select("item_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("ref")).join(best, "item_id", "left")
     both = F.when(F.col("ans").isNull(), 0).otherwise(F.size(F.array_intersect("ref", "ans")))
     return e.select("item_id", F.round(F.when(F.size("ref") == 0, 0.0).otherwise(both / F.size("ref")), 3).alias("word_overlap"))
