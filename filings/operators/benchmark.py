@@ -24,7 +24,7 @@ DIVERSE = 5
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each item's hits: how many entities and sections it expects are there, from how many filings they come, and their mean score. Without hits all are 0."""
     c = table(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("id"), "content", "section_name", F.concat(ticker(), F.lit("/"), "filing_date").alias("source"))
-    h = R.bm25_topk(spark, sf_dir).join(c, "id")
+    h = c.join(F.broadcast(R.bm25_topk(spark, sf_dir)), "id")  # a few rows for each item are sent to the texts
     g = h.groupBy("query_id").agg(F.lower(F.array_join(F.array_sort(F.collect_list("content")), " ")).alias("text"), F.collect_set("section_name").alias("found"), F.countDistinct("source").alias("sources"), F.avg("score").alias("mean"))
     field = F.col("field")
     expected = F.when(field == "revenue", F.array(F.lit("financial_statements"), F.lit("mda"))).when(field == "cogs", F.array(F.lit("financial_statements"))).when(field == "net_income", F.array(F.lit("financial_statements"), F.lit("risk_factors"))).otherwise(F.array().cast("array<string>"))
