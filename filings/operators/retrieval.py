@@ -270,7 +270,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, id, score, CAST(r - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS r FROM overlap) WHERE r <= {TOP}""")
 def hybrid_rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid's pool, scored pair by pair with the share of the question's words (the offline stand-in for a cross-encoder)."""
-    pool = _hybrid(spark, sf_dir, POOL).join(_docs(spark, sf_dir).select("id", T.words(F.lower(F.col("content"))).alias("d")), "id")
+    pool = _docs(spark, sf_dir).join(F.broadcast(_hybrid(spark, sf_dir, POOL)), "id").withColumn("d", T.words(F.lower(F.col("content"))))  # a few rows for each question are sent to the texts
     q = _items(spark, sf_dir).select("query_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("q"))
     s = pool.withColumnRenamed("rank", "pool_rank").join(q, "query_id").select("query_id", "id", "pool_rank", F.round(F.when(F.size("q") == 0, 0.0).otherwise(F.try_divide(F.size(F.array_intersect("q", "d")), F.size("q"))), 6).alias("score"))
     return best(s.drop("rank"), Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_rank"), TOP).select(*_OUT)
