@@ -39,7 +39,7 @@ def test_rows_that_share_an_id(spark, tables, tmp_path, name):
     assert plain(df.select(*cols).collect()) == plain(r.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "retrieval_grid", "gold_word_overlap", "retrieval_quality", "hybrid_rerank_lexical"])
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "retrieval_grid", "gold_word_overlap", "retrieval_quality", "hybrid_rerank_lexical", "verified_answers"])
 def test_floors_leave_the_best(spark, tables, tmp_path, monkeypatch, name):
     """Every second document sets floors, so that they leave out most pairs before these are sorted; the rows are those of the SQL."""
     monkeypatch.setattr(retrieval, "SOME", 2)
@@ -63,7 +63,7 @@ def test_statistics_share_one_reading(spark, tables, name):
     assert len(re.findall(r"Generate explode\(concat\(array_distinct", plan)) == 1
 
 
-@pytest.mark.parametrize("name", ["retrieval_grid", "gold_word_overlap", "retrieval_quality", "hybrid_rerank_lexical"])
+@pytest.mark.parametrize("name", ["retrieval_grid", "gold_word_overlap", "retrieval_quality", "hybrid_rerank_lexical", "verified_answers"])
 def test_texts_are_not_shuffled_for_what_was_found(spark, tables, name):
     """What was found is sent to the chunks, not the chunks to what was found."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
