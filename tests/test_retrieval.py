@@ -54,7 +54,7 @@ def test_floors_leave_the_best(spark, tables, tmp_path, monkeypatch, name):
     assert plain(df.select(*cols).collect()) == plain(r.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "multi_company_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_rrf", "multi_company_topk", "multi_doc_answers"])
 def test_statistics_share_one_reading(spark, tables, name):
     """What the terms' weights need of the documents (frequencies, their mean, lengths) is one shuffle, used again."""
     df = catalogue.QUERIES[name](spark, tables)
