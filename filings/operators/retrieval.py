@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from filings.functions import text as T
 from filings.registry import query
@@ -16,6 +20,8 @@ RRF, DENSE, SPARSE, KEY = 60, 0.6, 0.4, 100
 TOP, POOL, PER_COMPANY = 10, 20, 5
 BLOCK = 2048
 SOME = 64
+HITS, CELLS = 1 << 15, 1 << 20  # hits, and scores of documents and queries, that a task holds at a time
+SENT = 1 << 20  # asked-for words of all queries that go to the tasks with the function
 
 
 # --- dense -----------------------------------------------------------------------------------------------------------
@@ -101,17 +107,18 @@ def weights(b: DataFrame, by: tuple = ()) -> DataFrame:
     """(*by, term, weight, mean_length) of all terms of bags b, with the statistics of each part. What holds for a part is one row of it, sent to all tasks: no term is shuffled for it."""
     beside = lambda x, y: x.join(F.broadcast(y), [*by]) if by else x.crossJoin(F.broadcast(y))
     own = lambda c: F.sum(F.when(F.col("term").isNull(), F.col(c))).alias(c)
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # Each document has a null beside its words, whose group has the part's totals. Both sides name all sums, so that they share one reading of the texts.
     t = b.select(*by, "rows", "words", each(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string"))))).groupBy(*by, "term").agg(F.count("*").alias("df"), own("rows"), own("words"))
-    totals = t.where("rows is not null and words is not null and df > 0").select(*by, F.col("rows").alias("docs"), (F.col("words") / F.col("rows")).alias("mean_length"))
+    same = t.groupBy(*by, "df", "rows", "words").agg(F.count("*").alias("n"))  # a part's terms of one frequency have one idf: the mean is taken over these few rows
+    totals = same.where("rows is not null and words is not null").select(*by, F.col("rows").alias("docs"), (F.col("words") / F.col("rows")).alias("mean_length"))
+    part = beside(same.where("rows is null and words is null"), totals).groupBy(*by).agg((F.sum(F.col("n") * idf) / F.sum("n")).alias("mean_idf"), F.first("docs").alias("docs"), F.first("mean_length").alias("mean_length"))
     df = t.where("rows is null and words is null and df > 0").select(*by, F.coalesce("term", F.lit("")).alias("term"), "df")  # else a join by term sends a filter of its own to the texts
-    df = beside(df, totals).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = df.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    return beside(df, mean).select(*by, "term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("weight"), "mean_length")
+    return beside(df, part).withColumn("idf", idf).select(*by, "term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("weight"), "mean_length")
 
 
-def hits(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = None) -> DataFrame:
-    """(query_id, *by, id, term, times, tf, norm) for each term that a query and a document share, and with terms (see weights) its gain for each time that it is asked for.
+def matched(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = None) -> DataFrame:
+    """(*by, id, term, tf, norm) for each term of a document that any query asks for, and with terms (see weights) its gain for each time that it is asked for.
 
     Only words that are asked for leave their task, and they are partitioned by document: all hits of a query and a document
     meet where they are made, so that of the many pairs only the best of a partition are shuffled. norm: the root of the sum of all tf squared.
@@ -119,18 +126,21 @@ def hits(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = N
     run = F.aggregate(F.sort_array("w"), F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["n"] + 1).otherwise(1).alias("n"), (a["sum"] + F.when(x == a["last"], 2 * a["n"] + 1).otherwise(1)).alias("sum")))
     one = b.select(*by, "id", "length", "w", F.sqrt(run["sum"]).alias("norm")).select(*by, "id", "length", "norm", each("w"))  # the norm in a step of its own: else it is made again for each word
     words, first = q.select("term").distinct(), lambda *cs: [F.first(c).alias(c) for c in cs]
+    gain_ = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    gained = lambda p: p.select(*by, "id", "term", "tf", "norm", gain_.alias("gain"))
     if terms is None:
-        p = one.join(words, "term", "left_semi").repartition(*by, "id").groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), *first("norm"))
-    elif by:
+        return one.join(words, "term", "left_semi").repartition(*by, "id").groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), *first("norm"))
+    if by:
         p = one.join(words, "term", "left_semi").repartition(*by, "term").groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), *first("length", "norm"))
-        p = p.join(terms.join(words, "term", "left_semi"), [*by, "term"]).repartition(*by, "id")
-    else:  # no more weights than words asked for
-        p = one.join(F.broadcast(words), "term", "left_semi").repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), *first("length", "norm"))
-        p = p.join(F.broadcast(terms.join(words, "term", "left_semi")), "term")
-    if terms is not None:
-        gain_ = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-        p = p.select(*by, "id", "term", "tf", "norm", gain_.alias("gain"))
-    return p.join(q, "term")
+        return gained(p.join(terms.join(words, "term", "left_semi").hint("shuffle_hash"), [*by, "term"])).repartition(*by, "id")  # the weights are the fewer, and a sort by term takes longer
+    # no more weights than words asked for
+    p = one.join(F.broadcast(words), "term", "left_semi").repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), *first("length", "norm"))
+    return gained(p.join(F.broadcast(terms.join(words, "term", "left_semi")), "term"))
+
+
+def hits(b: DataFrame, q: DataFrame, by: tuple = (), terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, *by, id, term, times, tf, norm) for each term that a query and a document share; see matched."""
+    return matched(b, q, by, terms).join(q, "term")
 
 
 def gain():
@@ -149,14 +159,72 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, by: tuple = ()) -> DataFra
     """(query_id, *by, id, score, rank): the k best of each query and part, with the statistics of the part; of those only scores above 0."""
     b, q = bags(docs, by), asked(queries)
     terms = weights(b, by)
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    if by and q.count() <= SENT:
+        return best(near_best(matched(b, q, by, terms), q.toArrow(), k, by).withColumn("score", F.round("score", 6)), w, k).where("score > 0")
     scores = lambda b: hits(b, q, by, terms).groupBy("query_id", *by, "id").agg(gain().alias("score"))
     s = scores(b)
     if not by:  # floors by part would be as many as queries and parts
         s = s.join(F.broadcast(floors(scores(some(b)), k)), "query_id", "left").where(reaches("score", "floor"))
-    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
     return best(s, w, k).where("score > 0").drop("floor")
 
 
+def near_best(p: DataFrame, q: pa.Table, k: int, by: tuple) -> DataFrame:
+    """(query_id, *by, id, score) of p (see matched) and the asked-for words q: of each query and part at least the k best above 0, score not rounded. What is left out has k better ones by more than rounding.
+
+    Spark would make a row for each word that a query and a document share and hash and sort all pairs, which takes most of
+    the time and memory. Here a task adds the scores of a few documents at a time and keeps their best of each query and part.
+    """
+    q = q.sort_by("term")
+    names, lengths = (x := q["term"].combine_chunks().value_counts()).field("values"), x.field("counts").to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    who = q["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    which, who, times = who.indices.to_numpy(), who.dictionary, q["times"].to_numpy().astype(np.float64)
+    m, keys = len(who), [*by, "id"]
+    p = p.select(*keys, "term", "gain")
+    schema = S.StructType([S.StructField("query_id", S.LongType()), *(p.schema[c] for c in keys), S.StructField("score", S.DoubleType())])
+
+    def begins(t: pa.Table, columns) -> np.ndarray:
+        """Where a row differs from the last."""
+        codes = [t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in columns]
+        return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows, parts = begins(t, keys), begins(t, by)
+        ends = np.r_[rows[1:], t.num_rows]
+        word, gain_ = pc.index_in(t["term"].combine_chunks(), names).to_numpy(), t["gain"].to_numpy()
+        step = max(1, CELLS // m)
+        for at in range(0, len(rows), step):
+            first, to = rows[at : at + step], ends[at : at + step]
+            lo, hi, n = first[0], to[-1], len(first)
+            many = lengths[word[lo:hi]]
+            hit = np.repeat(np.arange(lo, hi), many)
+            entry = np.arange(len(hit)) + np.repeat(starts[word[lo:hi]] - np.cumsum(many) + many, many)
+            doc = np.repeat(np.arange(n), to - first)[hit - lo]
+            s = np.bincount(doc * m + which[entry], gain_[hit] * times[entry], n * m).reshape(n, m)
+            cuts = np.unique(np.r_[0, np.searchsorted(first, parts[(parts > lo) & (parts < hi)]), n])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a > k:
+                    s[a:b][s[a:b] < np.partition(s[a:b], b - a - k, axis=0)[b - a - k] - 2e-6] = 0
+            d, x = np.nonzero(s > 0)
+            found = t.select(keys).take(first[d]).combine_chunks()
+            yield from pa.table([who.take(pa.array(x)), *found.columns, pa.array(s[d, x])], names=["query_id", *keys, "score"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= HITS:
+                t = pa.Table.from_batches(held)
+                last = int(begins(t, keys)[-1])  # this document may go on
+                yield from of(t.slice(0, last)) if last else ()
+                held = t.slice(last).combine_chunks().to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield from of(t)
+
+    return p.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def some(b: DataFrame) -> DataFrame:
     """One document in SOME of b. Its best set the floors only: what they leave out can't be among the best of all."""
     return b.where(F.pmod(F.xxhash64("id"), F.lit(SOME)) == 0)
@@ -276,10 +344,14 @@ def hybrid_rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(s.drop("rank"), Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_rank"), TOP).select(*_OUT)
 
 
+def by_company(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return bm25(_docs(spark, sf_dir, F.upper(F.trim("ticker")).alias("ticker")).where("ticker is not null"), _items(spark, sf_dir), k, ("ticker",)).select("query_id", "ticker", "id", "score", "rank")
+
+
 @query("R8 A23", f"WITH {_sql(T.TICKER)} SELECT query_id, part AS ticker, id, score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank < {PER_COMPANY} AND score > 0")
 def multi_company_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each company's best chunks for each question, by the company's own statistics; one plan for all of them."""
-    return bm25(_docs(spark, sf_dir, F.upper(F.trim("ticker")).alias("ticker")).where("ticker is not null"), _items(spark, sf_dir), PER_COMPANY, ("ticker",)).select("query_id", "ticker", "id", "score", "rank")
+    return by_company(spark, sf_dir, PER_COMPANY)
 
 
 RETRIEVERS = {"dense": words_topk, "sparse": bm25_topk, "hybrid": hybrid_rrf, "hybrid_reranked": hybrid_rerank_lexical}

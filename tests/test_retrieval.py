@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -73,3 +74,32 @@ def test_texts_are_not_shuffled_for_what_was_found(spark, tables, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"SortMergeJoin \[id#", plan)
     assert name != "verified_answers" or len(re.findall(r"SortMergeJoin \[chunk_id#", plan)) == 2  # those of the facts
+
+
+OF_COMPANIES = ["multi_company_topk"]
+
+
+@pytest.mark.parametrize("name", OF_COMPANIES)
+def test_pairs_of_companies_are_not_hashed(spark, tables, name):
+    """A task adds scores a few documents at a time: there is no row for each pair of a question and a document that is hashed or sorted."""
+    plan = catalogue.QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys=\[query_id#\w+, ticker#\w+, id#", plan)
+
+
+@pytest.mark.parametrize(("name", "few"), [(n, f) for n in OF_COMPANIES for f in ({"HITS": 40, "CELLS": 200}, {"HITS": 1, "CELLS": 1}, {"SENT": 0})])
+def test_companies_in_small_steps(spark, tables, tmp_path, monkeypatch, name, few):
+    """Documents and companies that go on from one step to the next, rows that share an id, and nulls; the rows are those of the SQL."""
+    for k, v in few.items():
+        monkeypatch.setattr(retrieval, k, v)
+    con = duckdb.connect()
+    for t in ("chunks", "eval_items"):
+        x = pq.read_table(f"{tables}/{t}.parquet")
+        key = {"chunks": "chunk_id", "eval_items": "item_id"}[t]
+        odd = pa.Table.from_pylist([r | {key: None} for r in x.slice(0, 1).to_pylist()] + x.slice(5, 20).to_pylist() * (t == "chunks"), schema=x.schema)
+        pq.write_table(pa.concat_tables([x, odd]), tmp_path / f"{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    r = con.execute(catalogue.SQL[name])
+    cols = [x[0] for x in r.description]
+    plain = lambda rows: Counter(tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in row) for row in rows)
+    assert plain(df.select(*cols).collect()) == plain(r.fetchall())
