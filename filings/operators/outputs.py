@@ -114,6 +114,6 @@ def verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("M8", f"WITH {R._sql(T.TICKER)} SELECT query_id, count(*) AS companies, string_agg(part || ':' || id, ' ' ORDER BY part) AS cited FROM sparse WHERE rank = 0 AND score > 0 AND part IS NOT NULL GROUP BY 1")
 def multi_doc_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question over all companies: the best evidence of each, cited in the order of the tickers."""
-    t = R.multi_company_topk(spark, sf_dir).where("rank = 0 and ticker is not null")
+    t = R.by_company(spark, sf_dir, 1)
     cited = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ticker", "id"))), lambda x: F.concat(x["ticker"], F.lit(":"), x["id"])), " ")
     return t.groupBy("query_id").agg(F.count("*").alias("companies"), cited.alias("cited"))

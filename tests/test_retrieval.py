@@ -76,7 +76,7 @@ def test_texts_are_not_shuffled_for_what_was_found(spark, tables, name):
     assert name != "verified_answers" or len(re.findall(r"SortMergeJoin \[chunk_id#", plan)) == 2  # those of the facts
 
 
-OF_COMPANIES = ["multi_company_topk"]
+OF_COMPANIES = ["multi_company_topk", "multi_doc_answers"]
 
 
 @pytest.mark.parametrize("name", OF_COMPANIES)
@@ -103,3 +103,9 @@ def test_companies_in_small_steps(spark, tables, tmp_path, monkeypatch, name, fe
     cols = [x[0] for x in r.description]
     plain = lambda rows: Counter(tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in row) for row in rows)
     assert plain(df.select(*cols).collect()) == plain(r.fetchall())
+
+
+def test_answers_over_companies_keep_one_chunk_of_each(spark, tables):
+    """Only the best chunk of each company is looked for: a task keeps one of each question and company."""
+    plan = catalogue.QUERIES["multi_doc_answers"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert {int(k) for k in re.findall(r"WindowGroupLimit.*row_number\(\), (\d+),", plan)} == {1}
